@@ -44,7 +44,7 @@ def with_offsets(df: DataFrame, order: list, sums: dict) -> DataFrame:
     Rows are dealt by range, each range sums its own, and the ranges' totals (a row for each) are summed in turn,
     so no task sees all rows. Rows that tie in every key get any order. Nulls in an expression count 0.
     """
-    n = partitions(df.sparkSession)
+    n = max(1, min(partitions(df.sparkSession), df.count() // 20_000))
     dealt = df.withColumns({f"_{k}": F.coalesce(v, F.lit(0)).cast("long") for k, v in sums.items()})
     dealt = keep(dealt.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

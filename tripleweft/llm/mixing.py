@@ -20,7 +20,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFra
     """
     placed = with_offsets(sizes, [F.col("source").asc_nulls_last()], {"_n": F.lit(1)})
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_n") % len(weights) + 1).cast("int"))
-    placed = keep(placed.select("source", "source_size", weight.alias("_w"), (F.col("source_size") * max_epochs).alias("_cap")))
+    placed = placed.select("source", "source_size", weight.alias("_w"), (F.col("source_size") * max_epochs).alias("_cap"))
     left, over = placed.agg(F.sum("source_size"), F.sum("_w")).first()
     total, held = left or 0, None
     share = float(left) / over if over else 0.0
@@ -42,11 +42,11 @@ def plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7)
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     sized = sized.withColumn("_h", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _id())), 1, 16))
     sized = keep(sized)
-    sums = keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sums, weights, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    goal = keep(with_offsets(goal, [F.col("source").asc_nulls_last()], {"_start": F.col("source_size")}))
+    goal = with_offsets(goal, [F.col("source").asc_nulls_last()], {"_start": F.col("source_size")})
     rows = sized.groupBy(*KEY).agg(F.count("*").alias("_m"))
     order = [F.col("source").asc_nulls_last(), F.col("_h"), _id(), F.col("size")]
     rows = with_offsets(rows, order, {"_before": F.col("size") * F.col("_m")})
