@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, simhash, wavelet
+from . import decontaminate, html_extract, language, mixing, quality_model, quality_rules, simhash, wavelet
 
 #: The vocabulary file; a parameter of the operator, kept out of the repository.
 VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -13,7 +13,11 @@ def _table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, benchmark = _table("documents"), _table("benchmark")
+documents, benchmark, pages, labels = (_table(x) for x in ("documents", "benchmark", "pages", "labels"))
+
+
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(pages(spark, sf_dir))
 
 
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,10 @@ def op4_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -32,6 +40,10 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
+def op9_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op10_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
