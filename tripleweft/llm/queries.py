@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language, mixing, quality_model, quality_rules, simhash, wavelet
+from . import decontaminate, html_extract, language, licenses, mixing, quality_model, quality_rules, simhash, suffix_dedup, wavelet
 
 #: The vocabulary file; a parameter of the operator, kept out of the repository.
 VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -24,6 +24,10 @@ def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
+def op3_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir), keep_first=False).drop("text")
+
+
 def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
