@@ -77,6 +77,13 @@ def factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, n
     return earlier, earlier | later
 
 
+def runs(places: np.ndarray) -> list[dict]:
+    """Ascending places as runs lo to hi (exclusive)."""
+    ends = np.flatnonzero(np.diff(places) != 1)
+    lo, hi = places[np.concatenate(([0], ends + 1))] if len(places) else places, places[np.concatenate((ends, [len(places) - 1]))] + 1 if len(places) else places
+    return [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())]
+
+
 def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_bytes: int = 1_500_000, hot: int = 500) -> DataFrame:
     """doc_id, _sig, spans (sorted array of from, to in bytes): what to remove of each text that loses something.
 
@@ -139,6 +146,8 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
     pieces = keep(arrow_map(found.select("doc_id", "_sig", "text", "wanted"), fetch, f"anchor long, seg long, doc_id {kind}, _sig long, start long, n int, at int, hash binary, part binary"))
     pieces = pieces.dropDuplicates(["anchor", "seg", "at"])
 
+    ranges = "at array<struct<lo:int,hi:int>>"
+
     def shard(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["doc_id", "_sig", "start"])
         n, sizes = x["n"].to_numpy(np.int64), x["part"].str.len().to_numpy(np.int64)
@@ -146,20 +155,21 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
         starts = np.concatenate([np.arange(b, b + k) for b, k in zip(base, n)])
         flags = factors(b"".join(x["part"]), starts, length)[0 if keep_first else 1]
         cuts_ = np.cumsum(n)[:-1]
-        return pd.DataFrame({"anchor": x["anchor"], "seg": x["seg"], "at": [np.flatnonzero(f).tolist() for f in np.split(flags, cuts_)]})
+        return pd.DataFrame({"anchor": x["anchor"], "seg": x["seg"], "at": [runs(np.flatnonzero(f)) for f in np.split(flags, cuts_)]})
 
-    cold = pieces.where("at < 0").withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("_shard").applyInPandas(shard, "anchor long, seg long, at array<int>")
+    cold = pieces.where("at < 0").withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("_shard").applyInPandas(shard, f"anchor long, seg long, {ranges}")
     order = F.struct("doc_id", "_sig", "start", "at")
     warm = pieces.where("at >= 0").withColumn("order", order)
     twice = warm.groupBy("anchor", "hash").agg(F.count("*").alias("c"), F.min("order").alias("least")).where("c > 1")
     warm = warm.join(twice, ["anchor", "hash"]).where(F.col("order") > F.col("least") if keep_first else F.lit(True))
-    warm = warm.groupBy("anchor", "seg").agg(F.collect_list("at").alias("at"))
+    warm = warm.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # a segment has under `length` windows
+    warm = arrow_map(warm, lambda batches: ({"anchor": b["anchor"], "seg": b["seg"], "at": [runs(np.array(x, np.int64)) for x in b["at"].to_pylist()]} for b in batches), f"anchor long, seg long, {ranges}")
     partial = cold.union(warm).where(F.size("at") > 0)
     whole = each.where("copies > 1")
     is_first = (F.struct("doc_id", "_sig", "start", "n") == F.col("first")) if keep_first else F.lit(False)
     all_of = cuts.join(whole, ["anchor", "seg"]).where(~is_first).select("doc_id", "_sig", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
     some = cuts.join(partial, ["anchor", "seg"]).select("doc_id", "_sig", "start", F.explode("at").alias("at"))
-    some = some.select("doc_id", "_sig", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at") + length).alias("hi"))
+    some = some.select("doc_id", "_sig", (F.col("start") + F.col("at.lo")).alias("lo"), (F.col("start") + F.col("at.hi") - 1 + length).alias("hi"))
     return all_of.union(some).distinct().groupBy("doc_id", "_sig").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
