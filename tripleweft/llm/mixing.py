@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, with_offsets, words
+from .common import keep, packed, with_offsets, words
 
 KEY = ["source", "_h", "doc_id", "size"]
 
@@ -82,21 +82,22 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7)
 def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The rows of docs as often as the mix takes them; the last repetition of one document a source may be its first words only."""
     _, goal = plan(docs, weights, max_epochs, seed)
-    rows = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
+    text = F.col("_row.text")
+    rows = packed(docs, "doc_id", "source").withColumn("size", F.size(words(text)).cast("long"))
     rows = rows.withColumn("_h", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _id())), 1, 16))
     out = _taken(rows, goal)
     # the words from the start, with the white space between them
-    pieces = F.split("text", "(?<=[ \\t-\\r])(?=[^ \\t-\\r])")
-    leading = F.col("text").rlike("^[ \\t-\\r]").cast("int")
+    pieces = F.split(text, "(?<=[ \\t-\\r])(?=[^ \\t-\\r])")
+    leading = text.rlike("^[ \\t-\\r]").cast("int")
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("extra").cast("int") + leading), "")
     times = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
     out = out.withColumn("_t", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))))
     cut = (F.col("_t") > F.col("whole")) & (F.col("extra") < F.col("size"))
-    kinds = dict(docs.dtypes)
-    changed = {"text": F.when(cut, part).otherwise(F.col("text"))}
-    if "n_chars" in kinds:
-        changed["n_chars"] = F.when(cut, F.length(part).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*docs.columns)
+    changed = {"text": F.when(cut, part).otherwise(text)}
+    if "n_chars" in docs.columns:
+        own = F.col("_row.n_chars")
+        changed["n_chars"] = F.when(cut, F.length(part).cast(dict(docs.dtypes)["n_chars"])).otherwise(own)
+    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = """

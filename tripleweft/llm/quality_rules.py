@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, words
+from .common import keep, packed, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -56,15 +56,15 @@ def host_rates(counted: DataFrame) -> DataFrame:
     return raw.select("source", "n", *[x.alias(k) for k, x in out.items()])
 
 
-def judged(docs: DataFrame, host_limit: float = 0.5, with_text: bool = True) -> DataFrame:
-    """docs with the five counts, base_failed and kept.
+def judged(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
+    """docs (source, text, ...) without text, with the five counts, base_failed and kept.
 
     base_failed: under 10 words, or over 20 % of the words in 5-word windows that come twice. kept: not base_failed, and of no host
     where the shrunk rate of any rule's failures exceeds host_limit. Null sources are one host; null or blank texts fail; repeated rows are
-    judged alike; an empty table gives an empty result. Clashing columns of the names given here are replaced.
+    judged alike; an empty table gives an empty result.
     """
     counted = counts(docs).withColumn("base_failed", F.expr(f"({RULES['short']}) OR ({RULES['repeats']})"))
-    counted = keep(counted if with_text else counted.drop("text"))
+    counted = keep(counted.drop("text"))
     worst = F.greatest(*[F.col(k) for k in RULES])
     bad = keep(host_rates(counted).where(worst > host_limit).select(F.col("source").alias("_s"), F.lit(True).alias("_bad")))
     if bad.count() <= 100_000:  # else the join shuffles
@@ -75,12 +75,12 @@ def judged(docs: DataFrame, host_limit: float = 0.5, with_text: bool = True) ->
 
 def verdicts(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
     """doc_id, source, the five counts, base_failed and kept of every row; see judged."""
-    return judged(docs.select("doc_id", "source", "text"), host_limit, with_text=False)
+    return judged(docs.select("doc_id", "source", "text"), host_limit)
 
 
 def passed(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    return judged(docs, host_limit).where("kept").select(*docs.columns)
+    """The rows of docs that are kept, with their columns, whatever their names."""
+    return judged(packed(docs, "source", "text"), host_limit).where("kept").select("_row.*")
 
 
 ORACLE = """
