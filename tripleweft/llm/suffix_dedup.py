@@ -84,11 +84,63 @@ def runs(places: np.ndarray) -> list[dict]:
     return [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())]
 
 
-def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_bytes: int = 1_500_000, hot: int = 500) -> DataFrame:
+def crowded(pieces: DataFrame, length: int, keep_first: bool, width: int = 20) -> DataFrame:
+    """anchor, seg, at (runs lo to hi) of what comes twice in pieces(anchor, seg, doc_id, _sig, start, n, part) of crowded anchors, without gathering an anchor.
+
+    Ranges of up to `width` windows, cut by their offset to the anchor, are compared by hashes (128 bits) of what all their windows share (core) and of all they cover (union). Equal unions settle a range; where unions differ about one core, the windows
+    of one range for each union are compared by their hashes.
+    """
+    import xxhash
+
+    kinds = dict(pieces.dtypes)
+    names = f"anchor long, seg long, doc_id {kinds['doc_id']}, _sig long, start long"
+
+    def split(batches):
+        for b in batches:
+            out = {k: [] for k in ("row", "lo", "hi", "core", "union")}
+            for row, (anchor, n, part) in enumerate(zip(b["anchor"].to_pylist(), b["n"].to_pylist(), b["part"])):
+                raw = part.as_py()
+                with np.errstate(over="ignore"):
+                    place = int(np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8)).view(np.int64) == anchor)[0])
+                for cell in range(max(0, place - n + 1) // width, place // width + 1):  # by the anchor's offset in the window
+                    near, far = cell * width, min(cell * width + width - 1, length - GRAM)
+                    lo, hi = max(0, place - far), min(n, place - near + 1)
+                    for k, v in zip(out, (row, lo, hi, xxhash.xxh3_128_digest(raw[place - near : place - far + length]), xxhash.xxh3_128_digest(raw[lo : hi - 1 + length]))):
+                        out[k].append(v)
+            row = out.pop("row")
+            yield {k: b[k].take(row) for k in ("anchor", "seg", "doc_id", "_sig", "start")} | out
+
+    def windows(batches):
+        for b in batches:
+            out = {k: [] for k in ("row", "at", "hash")}
+            for row, (lo, hi, part) in enumerate(zip(b["lo"].to_pylist(), b["hi"].to_pylist(), b["part"])):
+                raw = part.as_py()
+                for at in range(lo, hi):
+                    for k, v in zip(out, (row, at, xxhash.xxh3_128_digest(raw[at : at + length]))):
+                        out[k].append(v)
+            row = out.pop("row")
+            yield {k: b[k].take(row) for k in ("anchor", "seg", "doc_id", "_sig", "start")} | out
+
+    ranges = keep(arrow_map(pieces.select("anchor", "seg", "doc_id", "_sig", "start", "n", "part"), split, f"{names}, lo int, hi int, core binary, union binary"))
+    ranges = ranges.withColumn("order", F.struct("doc_id", "_sig", "start", "lo"))
+    unions = keep(ranges.groupBy("anchor", "core", "union").agg(F.count("*").alias("copies"), F.min("order").alias("least"), F.min_by(F.struct("seg", "lo", "hi"), "order").alias("own")))
+    settled = ranges.join(unions.where("copies > 1").select("anchor", "core", "union", "least"), ["anchor", "core", "union"])
+    settled = settled.where((F.col("order") > F.col("least")) if keep_first else F.lit(True)).select("anchor", "seg", "lo", "hi")
+    split_cores = unions.groupBy("anchor", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "core")
+    open_ = unions.join(split_cores, ["anchor", "core"]).select("anchor", "own.*").join(pieces, ["anchor", "seg"])
+    each = arrow_map(open_.select("anchor", "seg", "doc_id", "_sig", "start", "lo", "hi", "part"), windows, f"{names}, at int, hash binary").withColumn("order", F.struct("doc_id", "_sig", "start", "at"))
+    each = keep(each)
+    twice = each.groupBy("anchor", "hash").agg(F.count("*").alias("c"), F.min("order").alias("first")).where("c > 1")
+    found = each.join(twice, ["anchor", "hash"]).where((F.col("order") > F.col("first")) if keep_first else F.lit(True))
+    found = settled.union(found.select("anchor", "seg", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
+    return found.groupBy("anchor", "seg").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))  # a segment has under `length` windows
+
+
+def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_bytes: int = 1_500_000, hot: int = 64) -> DataFrame:
     """doc_id, _sig, spans (sorted array of from, to in bytes): what to remove of each text that loses something.
 
     Segments that come twice are found by counting hashes of their bytes (128 bits). Segments that share their anchor only are gathered by anchor in shards of about shard_bytes, whose suffixes are sorted. An anchor with
-    more than `hot` different segments is not gathered: its windows are counted by their hashes (128 bits).
+    more than `hot` different segments is not gathered: see crowded.
     """
     import xxhash
 
@@ -124,27 +176,18 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
     each = keep(each)
     wide = each.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
     edges = keep(each.join(wide, "anchor").select("anchor", "seg", "segs", "first.*"))
-    count, size = edges.agg(F.count("*"), F.sum(F.col("n") + length - 1)).first()
+    size = edges.agg(F.sum(F.col("n") + length - 1)).first()[0]
     shards = max(1, -(-(size or 0) // shard_bytes))
-    wanted = edges.groupBy(F.col("doc_id").alias("_d"), F.col("_sig").alias("_s")).agg(F.collect_list(F.struct("anchor", "seg", "start", "n", (F.col("segs") > hot).alias("hot"))).alias("wanted"))
-    if count <= 200_000:  # of some 40 bytes; else the join shuffles
-        wanted = F.broadcast(wanted)
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sig") == F.col("_s"))).dropDuplicates(["doc_id", "_sig"]) if count > 200_000 else rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sig") == F.col("_s")))
+    wanted = edges.groupBy(F.struct("doc_id", "_sig").alias("_id")).agg(F.collect_list(F.struct("anchor", "seg", "start", "n", (F.col("segs") > hot).alias("hot"))).alias("wanted"))
+    found = rows.withColumn("_id", F.struct("doc_id", "_sig")).join(wanted, "_id").dropDuplicates(["_id"])
 
     def fetch(batches):
         for b in batches:
             for name, sig, text, want in zip(b["doc_id"].to_pylist(), b["_sig"].to_pylist(), b["text"], b["wanted"]):
-                raw, out = text.as_py().encode(), {k: [] for k in ("anchor", "seg", "doc_id", "_sig", "start", "n", "at", "hash", "part")}
-                for w in want.as_py():
-                    spots = range(w["n"]) if w["hot"] else (-1,)
-                    for at in spots:
-                        lo, hi = (w["start"] + at, w["start"] + at + length) if w["hot"] else (w["start"], w["start"] + w["n"] + length - 1)
-                        for k, v in zip(out, (w["anchor"], w["seg"], name, sig, w["start"], w["n"], at, xxhash.xxh3_128_digest(raw[lo:hi]) if w["hot"] else None, None if w["hot"] else raw[lo:hi])):
-                            out[k].append(v)
-                yield out
-
-    pieces = keep(arrow_map(found.select("doc_id", "_sig", "text", "wanted"), fetch, f"anchor long, seg long, doc_id {kind}, _sig long, start long, n int, at int, hash binary, part binary"))
-    pieces = pieces.dropDuplicates(["anchor", "seg", "at"])
+                raw, want = text.as_py().encode(), want.as_py()
+                yield {k: [w[k] for w in want] for k in ("anchor", "seg", "start", "n", "hot")} | {"doc_id": [name] * len(want), "_sig": [sig] * len(want), "part": [raw[w["start"] : w["start"] + w["n"] + length - 1] for w in want]}
+
+    pieces = keep(arrow_map(found.select("doc_id", "_sig", "text", "wanted"), fetch, f"anchor long, seg long, doc_id {kind}, _sig long, start long, n int, hot boolean, part binary"))
 
     ranges = "at array<struct<lo:int,hi:int>>"
 
@@ -157,13 +200,8 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
         cuts_ = np.cumsum(n)[:-1]
         return pd.DataFrame({"anchor": x["anchor"], "seg": x["seg"], "at": [runs(np.flatnonzero(f)) for f in np.split(flags, cuts_)]})
 
-    cold = pieces.where("at < 0").withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("_shard").applyInPandas(shard, f"anchor long, seg long, {ranges}")
-    order = F.struct("doc_id", "_sig", "start", "at")
-    warm = pieces.where("at >= 0").withColumn("order", order)
-    twice = warm.groupBy("anchor", "hash").agg(F.count("*").alias("c"), F.min("order").alias("least")).where("c > 1")
-    warm = warm.join(twice, ["anchor", "hash"]).where(F.col("order") > F.col("least") if keep_first else F.lit(True))
-    warm = warm.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # a segment has under `length` windows
-    warm = arrow_map(warm, lambda batches: ({"anchor": b["anchor"], "seg": b["seg"], "at": [runs(np.array(x, np.int64)) for x in b["at"].to_pylist()]} for b in batches), f"anchor long, seg long, {ranges}")
+    cold = pieces.where("NOT hot").withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("_shard").applyInPandas(shard, f"anchor long, seg long, {ranges}")
+    warm = crowded(pieces.where("hot"), length, keep_first)
     partial = cold.union(warm).where(F.size("at") > 0)
     whole = each.where("copies > 1")
     is_first = (F.struct("doc_id", "_sig", "start", "n") == F.col("first")) if keep_first else F.lit(False)
@@ -191,8 +229,6 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = True, **sizes)
     """
     kind = dict(docs.dtypes)["doc_id"]
     gone = keep(spans(docs, length, keep_first, **sizes)).withColumnsRenamed({"doc_id": "_d", "_sig": "_s"})
-    if (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 500_000:  # of 16 bytes; else the join shuffles
-        gone = F.broadcast(gone)
     rows = docs.select("doc_id", "text").withColumn("_sig", F.xxhash64("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sig") == F.col("_s")), "left").select("doc_id", "text", "spans")
 
