@@ -76,3 +76,27 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
     for c in ("subject_id", "object_id"):
         edges = edges.join(merges.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
     return aggregate_edges(edges)
+
+
+def closure(edges: DataFrame, depth: int) -> DataFrame:
+    """src, dst, depth (the least, from 1) of all pairs that at most `depth` edges(src, dst) join."""
+    seen = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
+    front = seen
+    for d in range(2, depth + 1):
+        front = front.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst").select("src", F.col("_next").alias("dst")).distinct()
+        front = front.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(d).alias("depth"))
+        seen = seen.union(front)
+    return seen
+
+
+def narrowed(rows: DataFrame, **wanted) -> DataFrame:
+    """rows where each named column has the value given, lies in a (least, most) of which either may be None, or is in a list; None asks nothing."""
+    for column, value in wanted.items():
+        if isinstance(value, tuple):
+            for bound, test in zip(value, (F.col(column) >= value[0], F.col(column) <= value[1])):
+                rows = rows if bound is None else rows.where(test)
+        elif isinstance(value, list):
+            rows = rows.where(F.col(column).isin(value))
+        elif value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
