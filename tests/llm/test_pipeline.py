@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tripleweft.llm import queries
 
-from .test_operators import SMALL, WORD, brute_components, brute_counts, brute_print, brute_tiles, brute_tokens
+from test_operators import SMALL, WORD, brute_components, brute_counts, brute_print, brute_tiles, brute_tokens
 
 
 def brute_rules(rows):
