@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -96,23 +97,30 @@ def pooled(docs: DataFrame, sums: np.ndarray, counts: np.ndarray) -> DataFrame:
 
     def each(batches):
         vectors, weights = table.value
+        weighed = np.hstack([vectors * weights[:, None], vectors * vectors * weights[:, None], weights[:, None]])
+        place = np.zeros(buckets, np.int64)
         for b in batches:
             texts, out = [t or "" for t in b["text"].to_pylist()], []
-            for lo, hi in parts(texts, 400_000):
-                ids = [token_ids(t, buckets) for t in texts[lo:hi]]
-                sizes = np.array([len(i) for i in ids])
-                some, flat = np.flatnonzero(sizes), np.array([x for i in ids for x in i], np.int64)
-                own = np.zeros((len(ids), 3 * size), np.float32)
-                if len(some):
-                    starts, w = (np.cumsum(sizes) - sizes)[some], weights[flat][:, None]
-                    v = vectors[flat]
-                    mass = np.add.reduceat(w, starts, axis=0)
-                    own[some, :size] = np.add.reduceat(v * w, starts, axis=0) / mass
-                    own[some, size : 2 * size] = np.add.reduceat(v * v * w, starts, axis=0) / mass
-                    v[:-1] *= v[1:]
-                    v[starts + sizes[some] - 1] = 0
-                    own[some, 2 * size :] = np.add.reduceat(v, starts, axis=0) / sizes[some][:, None]
-                out += [x.tobytes() for x in own]
+            for low, high in parts(texts, 100_000):
+                for lo in range(low, high, 256):
+                    ids = [token_ids(t, buckets) for t in texts[lo : min(lo + 256, high)]]
+                    sizes = np.array([len(i) for i in ids])
+                    some, flat = np.flatnonzero(sizes), np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+                    own = np.zeros((len(ids), 3 * size), np.float32)
+                    if len(some):
+                        # counts of the words found here (256 texts at most), times the table
+                        place[flat] = 1
+                        found = np.flatnonzero(place)
+                        place[found] = np.arange(len(found))
+                        at = np.repeat(np.arange(len(some)) * len(found), sizes[some]) + place[flat]
+                        place[found] = 0
+                        counted = np.bincount(at, minlength=len(some) * len(found)).reshape(len(some), -1).astype(np.float32) @ weighed[found]
+                        own[some, : 2 * size] = counted[:, :-1] / counted[:, -1:]
+                        starts, v = (np.cumsum(sizes) - sizes)[some], vectors[flat]
+                        v[:-1] *= v[1:]
+                        v[starts + sizes[some] - 1] = 0
+                        own[some, 2 * size :] = np.add.reduceat(v, starts, axis=0) / sizes[some][:, None]
+                    out += [x.tobytes() for x in own]
             yield {"doc_id": b["doc_id"], "vec": out}
 
     return arrow_map(docs.select("doc_id", "text"), each, f"doc_id {dict(docs.dtypes)['doc_id']}, vec binary")
