@@ -319,4 +319,4 @@ def fm15(spark, d):
     return z.select("k", F.when(F.col("defect") > 0.3, "defect").when(F.col("doubt") > 0.052, "uncertain").when(F.col("n") < 550, "weak").otherwise("stable").alias("zone"))
 
 
-from . import relational  # noqa: E402, F401 (adds its queries to those above)
+from . import packet_queries, relational  # noqa: E402, F401 (add their queries to those above)
