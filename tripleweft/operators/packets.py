@@ -68,14 +68,14 @@ def definitions(edges: DataFrame) -> DataFrame:
 
 
 def confidence(edges: DataFrame, contradicting: list[str]) -> DataFrame:
-    """query_id, confidence: a sigmoid of weighted evidence (noisy or over the top edges), coverage, coherence, trust, contradiction and gaps; no paths are followed, so extrapolation is 0."""
+    """query_id, confidence: a sigmoid of weighted evidence (noisy or over the best twenty edges), coverage, coherence, trust, contradiction and gaps; no paths are followed, so extrapolation is 0."""
     nodes = top_nodes(edges)
     near = nodes.where("place <= 15").select("query_id", "node")
     e = top_edges(edges)
     e = e.join(near.select("query_id", F.col("node").alias("s"), F.lit(1).alias("_s")), ["query_id", "s"], "left").join(near.select("query_id", F.col("node").alias("o"), F.lit(1).alias("_o")), ["query_id", "o"], "left")
     pair = F.when((F.col("place") <= 30) & F.col("_s").isNotNull() & F.col("_o").isNotNull(), F.col("a_s") * F.col("a_o"))
     sums = e.groupBy("query_id").agg(
-        noisy_or(TRUST * F.col("w")).alias("evidence"), (F.sum(pair * F.col("w")) / F.nullif(F.sum(pair), F.lit(0.0))).alias("coherence"),
+        noisy_or(F.when(F.col("place") <= 20, TRUST * F.col("w"))).alias("evidence"), (F.sum(pair * F.col("w")) / F.nullif(F.sum(pair), F.lit(0.0))).alias("coherence"),
         F.avg(F.when(F.col("place") <= 10, F.col("w"))).alias("trust"), F.max(F.when(F.col("p").isin(contradicting), F.col("w"))).alias("against"))
     all_ = nodes.groupBy("query_id").agg(F.least(F.count("*") / 10, F.lit(1.0)).alias("coverage")).join(sums, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

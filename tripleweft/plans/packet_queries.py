@@ -36,7 +36,7 @@ def cg01(spark, d):
 
 @query("cg08_confidence", f"""WITH {PACKET}, near AS (SELECT query_id, node FROM top_nodes WHERE place <= 15),
   k AS (SELECT t.*, CASE WHEN place <= 30 AND x.node IS NOT NULL AND y.node IS NOT NULL THEN a_s * a_o END AS pair FROM top_edges t LEFT JOIN near x ON t.query_id = x.query_id AND t.s = x.node LEFT JOIN near y ON t.query_id = y.query_id AND t.o = y.node),
-  z AS (SELECT query_id, 1 - product(1 - 0.7 * w) AS evidence, sum(pair * w) / nullif(sum(pair), 0) AS coherence, avg(w) FILTER (place <= 10) AS trust, max(w) FILTER (p = 'used_for') AS against FROM k GROUP BY 1),
+  z AS (SELECT query_id, 1 - product(1 - 0.7 * w) FILTER (place <= 20) AS evidence, sum(pair * w) / nullif(sum(pair), 0) AS coherence, avg(w) FILTER (place <= 10) AS trust, max(w) FILTER (p = 'used_for') AS against FROM k GROUP BY 1),
   c AS (SELECT query_id, least(count(*) / 10, 1.0) AS coverage FROM top_nodes GROUP BY 1)
   SELECT query_id, round(1 / (1 + exp(-(4 * (0.25 * coalesce(evidence, 0) + 0.2 * coverage + 0.2 * least(coalesce(coherence, 0.5), 1.0) + 0.15 * coalesce(trust, 0) - 0.1 * coalesce(against, 0) - 0.025 * (1 - coverage)) - 2))), 3) AS confidence FROM c LEFT JOIN z USING (query_id)""")
 def cg08(spark, d):
