@@ -284,10 +284,10 @@ def gr18(spark, d):
     return e.where("subject_id < object_id AND n > 20").join(e.select(F.col("object_id").alias("subject_id"), F.col("subject_id").alias("object_id")), ["subject_id", "object_id"]).select("subject_id", "object_id")
 
 
-@query("gr20_unification", f"""WITH {REL}, e AS (SELECT subject_id, predicate, object_id, max(confidence) AS c FROM relations WHERE capsule_id % 20 = 0 GROUP BY 1, 2, 3)
+@query("gr20_unification", f"""WITH {REL}, e AS (SELECT subject_id, predicate, object_id, max(confidence) AS c FROM relations GROUP BY 1, 2, 3)
   SELECT a.subject_id AS "X", a.object_id AS "Y", greatest(a.c, 1e-6) * greatest(b.c, 1e-6) AS score, false AS hit_bridge FROM e a JOIN e b USING (subject_id, object_id) WHERE a.predicate = 'causes' AND b.predicate = 'requires' ORDER BY score DESC, 1, 2 LIMIT 8""")
 def gr20(spark, d):
-    e = relations(spark, d).where("capsule_id % 20 = 0").groupBy("subject_id", "predicate", "object_id").agg(F.max("confidence").alias("local_confidence")).withColumns({"local_truth": F.lit("asserted"), "is_bridge": F.lit(False)})
+    e = relations(spark, d).groupBy("subject_id", "predicate", "object_id").agg(F.max("confidence").alias("local_confidence")).withColumns({"local_truth": F.lit("asserted"), "is_bridge": F.lit(False)})
     return graph.unify([("?X", "causes", "?Y"), ("?X", "requires", "?Y")], e)
 
 
@@ -319,4 +319,4 @@ def fm15(spark, d):
     return z.select("k", F.when(F.col("defect") > 0.3, "defect").when(F.col("doubt") > 0.052, "uncertain").when(F.col("n") < 550, "weak").otherwise("stable").alias("zone"))
 
 
-from . import packet_queries, relational  # noqa: E402, F401 (add their queries to those above)
+from . import packet_queries, relational, verdict_queries  # noqa: E402, F401 (add their queries to those above)
