@@ -62,8 +62,9 @@ class VantageTree:
                     inside = int((d <= radius).sum())
                 if 0 < inside < len(points):
                     cost = int((np.abs(2 * d - 2 * radius - 1) <= 4).sum()) + abs(2 * inside - len(points))
-                    best = min(best or (cost, 0, 0), (cost, int(v), radius))
-            if best and best[1:] != (0, 0):
+                    candidate = (cost, int(v), radius)
+                    best = candidate if best is None else min(best, candidate)
+            if best:
                 _, v, radius = best
                 near = np.bitwise_count(points ^ np.uint64(v)) <= radius
                 left = self._grow(points[near], leaves // 2, rng)
