@@ -20,16 +20,18 @@ ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 NAMES = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|related|recommend\w*|shar(e|ing)|social|breadcrumbs?|menu\w*|nav|navbar|navigation|footer|masthead|comments?|disqus|respond|repl(y|ies)|pagination|pager|toolbar|login|signup|skip)$")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements that hold the page's content whatever classes a theme sets on them.
+HOLDERS = {"html", "body", "main", "article"}
 DROPPED, PLAIN, ARTICLE = 0, 1, 2
 
 
-def _zone(name: str, attributes: str, now: int) -> int:
-    """The zone inside an element, by its name and attributes."""
-    if now == DROPPED:
+def _zone(name: str, attributes: str, now: int, reopen: bool = False) -> int:
+    """The zone inside an element, by its name and attributes; with reopen, an article inside a dropped element is read."""
+    if now == DROPPED and not (reopen and name == "article"):
         return now
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     tokens = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    if name in SKIPPED or name == "header" and now != ARTICLE or any(NAMES.match(x) for x in tokens) or now != ARTICLE and "header" in tokens and name == "div":
+    if name in SKIPPED or name == "header" and now != ARTICLE or name not in HOLDERS and any(NAMES.match(x) for x in tokens) or now != ARTICLE and "header" in tokens and name == "div":
         return DROPPED
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")) or re.search(r"(^|\s)hidden(\s|$)", ATTRIBUTE.sub(" ", attributes)):
         return DROPPED
@@ -37,6 +39,17 @@ def _zone(name: str, attributes: str, now: int) -> int:
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
+    """A page's blocks of text in order, each with its zone. If its article lies in a dropped element and is longer than all that is left, it is read from there."""
+    out = _lines(page)
+    if "<article" in (page or "").lower() and all(z != ARTICLE for _, z in out):
+        again = _lines(page, reopen=True)
+        size = lambda found, zone: sum(len(t) for t, z in found if z == zone)
+        if size(again, ARTICLE) > size(out, PLAIN):
+            return again
+    return out
+
+
+def _lines(page: str | None, reopen: bool = False) -> list[tuple[str, int]]:
     """A page's blocks of text in order, each with its zone: dropped by markup, plain, or of the article. Unclosed elements end where an outer one does."""
     out, held, zone, stack, at = [], [], PLAIN, [], 0
     page = page or ""
@@ -85,7 +98,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             while shut and (i := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)) is not None and stack[i][0] in shut:
                 zone = stack[i][1]
                 del stack[i:]
-            inside = _zone(name, m[3], zone)
+            inside = _zone(name, m[3], zone, reopen)
             if inside != zone:
                 flush()
         stack.append((name, zone))
