@@ -181,6 +181,32 @@ def test_suffix_removal(spark, sizes):
     assert sorted((tuple(r) for r in got.drop("text").collect()), key=repr) == brute_removed(rows, 100)
 
 
+def heavy(seed=9):
+    """One passage in every text, a large group of near copies, a group of exact copies, repeated rows, a long text, nulls."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    passage, base, rows = text(30), text(60).split(), []
+    for i in range(90):
+        rows.append((i, f"{text(8)} {passage} {text(5)}"))
+    for i in range(90, 180):
+        own = list(base)
+        for at in rng.integers(0, 60, i % 6):
+            own[at] = text(1)
+        rows.append((i, " ".join(own)))
+    copy = text(50)
+    rows += [(i, copy) for i in range(180, 220)] + [(5, rows[5][1]), (200, copy), (None, copy), (None, None), (230, text(9000) + passage + text(2000))]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{}, {"hot": 4}])
+def test_suffix_removal_with_heavy_copies(spark, sizes):
+    rows = heavy()
+    got = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"), 100, keep_first=False, **sizes)
+    # a repeated row is a place of its own
+    assert sorted((tuple(r) for r in got.drop("text").collect()), key=repr) == brute_removed(rows, 100)
+    assert got.count() == len(rows)
+
+
 def test_suffix_removal_keeps_the_first(spark):
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, "first " + passage + " end"), (2, "second " + passage + " over"), (3, "alone " * 3)]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep
+from .common import arrow_map, join_counted, keep
 
 GRAM = 32
 PIECE = 1 << 19
@@ -124,22 +124,35 @@ def crowded(pieces: DataFrame, length: int, keep_first: bool, width: int = 20) -
     ranges = keep(arrow_map(pieces.select("anchor", "seg", "doc_id", "_sig", "start", "n", "part"), split, f"{names}, lo int, hi int, core binary, union binary"))
     ranges = ranges.withColumn("order", F.struct("doc_id", "_sig", "start", "lo"))
     unions = keep(ranges.groupBy("anchor", "core", "union").agg(F.count("*").alias("copies"), F.min("order").alias("least"), F.min_by(F.struct("seg", "lo", "hi"), "order").alias("own")))
-    settled = ranges.join(unions.where("copies > 1").select("anchor", "core", "union", "least"), ["anchor", "core", "union"])
+    settled = join_counted(ranges, unions.where("copies > 1").select("anchor", "core", "union", "least", "copies"), ["anchor", "core", "union"], "copies")
     settled = settled.where((F.col("order") > F.col("least")) if keep_first else F.lit(True)).select("anchor", "seg", "lo", "hi")
-    split_cores = unions.groupBy("anchor", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "core")
-    open_ = unions.join(split_cores, ["anchor", "core"]).select("anchor", "own.*").join(pieces, ["anchor", "seg"])
+    split_cores = keep(unions.groupBy("anchor", "core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    open_ = join_counted(unions.drop("copies", "least"), split_cores, ["anchor", "core"], "kinds").select("anchor", "own.*").join(pieces, ["anchor", "seg"])
     each = arrow_map(open_.select("anchor", "seg", "doc_id", "_sig", "start", "lo", "hi", "part"), windows, f"{names}, at int, hash binary").withColumn("order", F.struct("doc_id", "_sig", "start", "at"))
     each = keep(each)
-    twice = each.groupBy("anchor", "hash").agg(F.count("*").alias("c"), F.min("order").alias("first")).where("c > 1")
-    found = each.join(twice, ["anchor", "hash"]).where((F.col("order") > F.col("first")) if keep_first else F.lit(True))
+    twice = keep(each.groupBy("anchor", "hash").agg(F.count("*").alias("c"), F.min("order").alias("first")).where("c > 1"))
+    found = join_counted(each, twice, ["anchor", "hash"], "c").where((F.col("order") > F.col("first")) if keep_first else F.lit(True))
     found = settled.union(found.select("anchor", "seg", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
-    return found.groupBy("anchor", "seg").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))  # a segment has under `length` windows
+    found = found.groupBy("anchor", "seg").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("at"))  # a segment has under `length` windows
+    return found.withColumn("at", joined_runs("at"))
+
+
+def joined_runs(column: str):
+    """A sorted array of struct<lo:int,hi:int> with those that touch or overlap made one."""
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+
+    def add(done, x):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        return F.when((F.size(done) > 0) & (x["lo"] <= F.try_element_at(done, F.lit(-1))["hi"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(column, none, add)
 
 
 def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_bytes: int = 1_500_000, hot: int = 64) -> DataFrame:
     """doc_id, _sig, spans (sorted array of from, to in bytes): what to remove of each text that loses something.
 
-    Segments that come twice are found by counting hashes of their bytes (128 bits). Segments that share their anchor only are gathered by anchor in shards of about shard_bytes, whose suffixes are sorted. An anchor with
+    Segments that come twice are found by counting hashes of their bytes (64 bits beside the anchor's 64). Segments that share their anchor only are gathered by anchor in shards of about shard_bytes, whose suffixes are sorted. An anchor with
     more than `hot` different segments is not gathered: see crowded.
     """
     import xxhash
@@ -170,12 +183,12 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
         return out | {"seg": np.array(out["seg"], np.uint64).view(np.int64)} | {k: np.concatenate(out[k]) if out[k] else [] for k in ("anchor", "start", "n")}
 
     cuts = keep(arrow_map(rows, cut, f"doc_id {kind}, _sig long, anchor long, seg long, start long, n int"))
-    again = cuts.groupBy("anchor").agg(F.count("*").alias("_c")).where("_c > 1").select("anchor")
-    cuts = keep(cuts.join(again, "anchor"))  # the rest comes once
+    again = keep(cuts.groupBy("anchor").agg(F.count("*").alias("_c")).where("_c > 1"))
+    cuts = keep(join_counted(cuts, again, ["anchor"], "_c").drop("_c"))  # the rest comes once
     each = cuts.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "_sig", "start", "n")).alias("first"))
     each = keep(each)
-    wide = each.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
-    edges = keep(each.join(wide, "anchor").select("anchor", "seg", "segs", "first.*"))
+    wide = keep(each.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1"))
+    edges = keep(join_counted(each, wide, ["anchor"], "segs").select("anchor", "seg", "segs", "first.*"))
     size = edges.agg(F.sum(F.col("n") + length - 1)).first()[0]
     shards = max(1, -(-(size or 0) // shard_bytes))
     wanted = edges.groupBy(F.struct("doc_id", "_sig").alias("_id")).agg(F.collect_list(F.struct("anchor", "seg", "start", "n", (F.col("segs") > hot).alias("hot"))).alias("wanted"))
@@ -203,12 +216,14 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False, shard_by
     cold = pieces.where("NOT hot").withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("_shard").applyInPandas(shard, f"anchor long, seg long, {ranges}")
     warm = crowded(pieces.where("hot"), length, keep_first)
     partial = cold.union(warm).where(F.size("at") > 0)
-    whole = each.where("copies > 1")
+    marks = keep(each.join(partial, ["anchor", "seg"], "left").where("copies > 1 OR at IS NOT NULL"))
     is_first = (F.struct("doc_id", "_sig", "start", "n") == F.col("first")) if keep_first else F.lit(False)
-    all_of = cuts.join(whole, ["anchor", "seg"]).where(~is_first).select("doc_id", "_sig", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
-    some = cuts.join(partial, ["anchor", "seg"]).select("doc_id", "_sig", "start", F.explode("at").alias("at"))
-    some = some.select("doc_id", "_sig", (F.col("start") + F.col("at.lo")).alias("lo"), (F.col("start") + F.col("at.hi") - 1 + length).alias("hi"))
-    return all_of.union(some).distinct().groupBy("doc_id", "_sig").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    start = F.col("start").cast("long")
+    whole = F.array(F.struct(start.alias("lo"), (start + F.col("n") - 1 + length).alias("hi")))
+    parts = F.transform(F.coalesce("at", F.array().cast(ranges[3:])), lambda x: F.struct((start + x["lo"]).alias("lo"), (start + x["hi"] - 1 + length).alias("hi")))
+    found = join_counted(cuts, marks, ["anchor", "seg"], "copies").select("doc_id", "_sig", F.when((F.col("copies") > 1) & ~is_first, whole).otherwise(parts).alias("spans"))
+    found = found.where(F.size("spans") > 0).groupBy("doc_id", "_sig").agg(F.collect_set("spans").alias("spans"))  # a text has no more segments than bytes; repeated rows add none
+    return found.select("doc_id", "_sig", F.sort_array(F.flatten("spans")).alias("spans"))
 
 
 def _merged(found: list) -> list[tuple[int, int]]:
