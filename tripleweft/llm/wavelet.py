@@ -1,14 +1,13 @@
 """Token ids in wavelet matrices: bit planes with rank and select, a file for each range of documents."""
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, shared_dir, with_offsets
+from .common import arrow_map, partitions, shared_path, with_offsets
 
 MAGIC, STEP = b"WVM1", 512
 
@@ -208,12 +207,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, block_t
 
     dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    arrow_map(dealt, each, "shard int, block int, n_tokens long, doc_ids array<long>, ends array<long>, data binary").write.parquet(folder)
+    arrow_map(dealt, each, f"shard int, block int, n_tokens long, doc_ids array<{dict(docs.dtypes)['doc_id']}>, ends array<long>, data binary").write.parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of write."""
     files = spark.read.parquet(folder)
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     starts = with_offsets(files.select("shard", "block", "n_tokens"), ["shard", "block"], {"first": F.col("n_tokens")}).drop("n_tokens")
     if starts.count() <= 500_000:  # a row for each block of 2^18 ids; else the join shuffles
         starts = F.broadcast(starts)
@@ -224,11 +224,11 @@ def read(spark, folder: str) -> DataFrame:
                 ids, begins = WaveletMatrix.from_bytes(data.as_py()).decode().astype("<u4"), [0, *ends[:-1]]
                 yield {"doc_id": names, "start": [first + a for a in begins], "n_tokens": [b - a for a, b in zip(begins, ends)], "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]}
 
-    return arrow_map(files.join(starts, ["shard", "block"]).select("first", "doc_ids", "ends", "data"), each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(files.join(starts, ["shard", "block"]).select("first", "doc_ids", "ends", "data"), each, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes docs into a new folder of the shared place and reads the files back. An empty table gives an empty result."""
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = shared_path(docs.sparkSession, "tokens")
     write(docs, tokenizer, folder)
     return read(docs.sparkSession, folder)
