@@ -1,11 +1,13 @@
 """SimHash near-duplicates: fingerprints in a vantage-point tree of Hamming balls."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, keep
+from .common import arrow_map, components, join_counted, keep, packed
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -145,29 +147,64 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows: int = 50_000) -> DataFrame:
+def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows: int = 50_000, most_rows: int = 200_000) -> DataFrame:
     """Edges (u, v) between representatives that join all of reps(fp, rep) within reach: in each shard, a star for each of its groups.
 
     A tree over a bounded sample of the fingerprints (sample_rows) cuts space into shards; a fingerprint lies in one and, as a query, goes to every later shard
-    that the triangle bounds leave. Each shard finds its pairs exactly.
+    that the triangle bounds leave. Shards that more than most_rows fingerprints reach get a tree of their own, and so on, so that shards stay bounded whatever there is. Each shard finds its pairs exactly.
     """
+    kind = dict(reps.dtypes)["rep"]
     n = reps.count()
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(min(sample_rows, n)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = VantageTree(sample, max(1, min(-(-n // shard_rows), sample_rows // 20)))
 
+    def placed(tree, fps, own):
+        """(rows, leaf, whether it lies there) of every leaf that a fingerprint goes to; a query that lies elsewhere goes to all in reach."""
+        home = np.where(own, tree.home(fps), -1)
+        for rows, leaf in tree.visits(fps, reach):
+            rows = rows[home[rows] <= leaf]
+            for i in range(0, len(rows), 100_000):
+                part = rows[i : i + 100_000]
+                yield part, leaf, home[part] == leaf
+
     def route(batches):
         for b in batches:
-            fps = b["fp"].to_numpy().view(np.uint64)
-            home, rows, leaves = tree.home(fps), [], []
-            for r, leaf in tree.visits(fps, reach):
-                r = r[home[r] <= leaf]
-                rows.append(r)
-                leaves.append(np.full(len(r), leaf))
-            rows, leaves = np.concatenate(rows), np.concatenate(leaves)
-            reps_ = b["rep"].to_numpy(zero_copy_only=False)
-            for i in range(0, len(rows), 100_000):
-                r, leaf = rows[i : i + 100_000], leaves[i : i + 100_000]
-                yield {"leaf": leaf, "fp": fps[r].view(np.int64), "rep": reps_[r], "own": home[r] == leaf}
+            fps, reps_ = b["fp"].to_numpy().view(np.uint64), b["rep"].to_numpy(zero_copy_only=False)
+            for rows, leaf, own in placed(tree, fps, np.ones(len(fps), bool)):
+                yield {"leaf": np.full(len(rows), leaf).astype(str), "fp": fps[rows].view(np.int64), "rep": reps_[rows], "own": own}
+
+    def grow(x: pd.DataFrame) -> pd.DataFrame:
+        fps = x["fp"].to_numpy(np.int64).view(np.uint64)
+        return pd.DataFrame({"leaf": x["leaf"].head(1), "tree": [pickle.dumps(VantageTree(fps, max(2, len(fps) // 20)))]})
+
+    def split(batches):
+        trees: dict = {}
+        for b in batches:
+            leaves, fps = np.array(b["leaf"].to_pylist(), object), b["fp"].to_numpy().view(np.uint64)
+            reps_, owns = b["rep"].to_numpy(zero_copy_only=False), b["own"].to_numpy(zero_copy_only=False)
+            for leaf in set(leaves):
+                at = np.flatnonzero(leaves == leaf)
+                if leaf not in trees:
+                    trees[leaf] = pickle.loads(b["tree"][int(at[0])].as_py())
+                for rows, below, own in placed(trees[leaf], fps[at], owns[at]):
+                    yield {"leaf": [f"{leaf}.{below}"] * len(rows), "fp": fps[at[rows]].view(np.int64), "rep": reps_[at[rows]], "own": own}
+
+    columns = f"leaf string, fp long, rep {kind}, own boolean"
+    routed, done, before = arrow_map(reps, route, columns), [], None
+    while True:
+        routed = keep(routed)
+        sizes = keep(routed.groupBy("leaf").agg(F.count("*").alias("_rows"), F.count_if("own").alias("_own")).where(F.col("_rows") > most_rows))
+        crowded, largest = sizes.agg(F.count("*"), F.max("_rows")).first()
+        if not crowded or before is not None and largest >= before:
+            done.append(routed)
+            break
+        before = largest
+        inside = join_counted(routed, sizes, ["leaf"], "_rows")
+        # each crowded leaf's tree is grown over some 2,000 of its own fingerprints, chosen by hash
+        few = inside.where("own").where(F.pmod(F.xxhash64("fp", "leaf"), F.greatest(F.lit(1), (F.col("_own") / 2000).cast("long"))) == 0)
+        trees = keep(few.select("leaf", "fp").groupBy("leaf").applyInPandas(grow, "leaf string, tree binary").join(sizes, "leaf"))
+        done.append(routed.join(sizes, "leaf", "left_anti"))
+        routed = arrow_map(join_counted(routed, trees, ["leaf"], "_rows").select("leaf", "fp", "rep", "own", "tree"), split, columns)
 
     def shard(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["rep", "fp"])
@@ -178,8 +215,10 @@ def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows:
         rest = np.flatnonzero(root != np.arange(len(fps)))
         return pd.DataFrame({"u": reps_[rest], "v": reps_[root[rest]]})
 
-    kind = dict(reps.dtypes)["rep"]
-    return arrow_map(reps, route, f"leaf long, fp long, rep {kind}, own boolean").groupBy("leaf").applyInPandas(shard, f"u {kind}, v {kind}")
+    shards = done[0]
+    for more in done[1:]:
+        shards = shards.union(more)
+    return shards.groupBy("leaf").applyInPandas(shard, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFrame:
@@ -189,15 +228,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFram
     rows without a doc_id are never a component's id, and get null if they are linked to none that has one. An empty table gives an empty result.
     """
     prints = keep(fingerprints(docs, width))
-    reps = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
-    found = components(links(reps, reach)).withColumnsRenamed({"node": "_n", "component": "_c"})
-    named = reps.join(found, F.col("rep") == F.col("_n"), "left").select("fp", F.coalesce("_c", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left")
+    reps = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")))
+    found = components(links(reps.where("rep IS NOT NULL").select("fp", "rep"), reach)).withColumnsRenamed({"node": "_n", "component": "_c"})
+    named = keep(reps.join(found, F.col("rep") == F.col("_n"), "left").select("fp", "_rows", F.coalesce("_c", "rep").alias("component_id")))
+    out = join_counted(prints, named, ["fp"], "_rows")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFrame:
-    """The rows of docs, one document of each component: that of the least doc_id. Rows without a doc_id stay; rows of one doc_id count as one document."""
+    """The rows of docs, one document of each component: that of the least doc_id. Rows without a doc_id stay; of rows that share one, that with the least hash of its text stays, so reruns agree."""
     groups = near_duplicates(docs, width, reach)
     ids = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return chosen(docs, ids)
+
+
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of docs, one row for each of ids(doc_id), and all rows without a doc_id. Rows of one doc_id are told apart by hashes: the least of (text's, whole row's) stays; rows alike in both are the same row."""
+    rest, kept = docs.where("doc_id IS NULL"), docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    several = keep(docs.groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if several.isEmpty():
+        return kept.unionByName(rest)
+    rows = packed(kept.join(several, "doc_id", "left_semi").select(*docs.columns), "doc_id", "text").withColumn("_order", F.struct(F.xxhash64("text"), F.xxhash64("_row")))
+    rows = rows.join(rows.groupBy("doc_id").agg(F.min("_order").alias("_least")), "doc_id").where("_order = _least").dropDuplicates(["doc_id"])
+    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(rows.select("_row.*")).unionByName(rest)
