@@ -52,36 +52,45 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The classifier with its families, temperature and threshold."""
+    """The classifier with its families, temperature and threshold.
+
+    Every fifth of the stated sentences (by a hash of the sentence, with all forms cut from it) and of the negative lines is held back while the temperature and the threshold are set; with these fixed, the classifier is then fitted over all of them.
+    """
 
     def __init__(self, docs: DataFrame, buckets: int, negatives: int, most_unknown: float):
         spark = docs.sparkSession
-        self.families = ["none", *TEMPLATES]
+        self.families, self.buckets = ["none", *TEMPLATES], buckets
         rows = []
         for label, family in enumerate(self.families):
-            for text in OTHERS if family == "none" else TEMPLATES[family]:
+            for k, text in enumerate(OTHERS if family == "none" else TEMPLATES[family]):
                 found = text.split()
                 half = max(2, len(found) // 2)
                 forms = {text, " ".join(found[:half]), "Note: " + text, text + " See the file for details."} if len(found) < 8 else {text, " ".join(found[:half]), " ".join(found[half:]), " ".join(found[len(found) // 4 : len(found) // 4 + half]), "Note: " + text}
-                rows += [(float(label), x) for x in sorted(forms if family != "none" else {text})] * (3 if family != "none" else 8)
-        stated = spark.createDataFrame(rows, "label double, _x string").withColumn("_t", tokens(F.col("_x"))).select("label", "_t")
-        known = F.array(*[F.lit(t.lower().rstrip(".")) for ts in TEMPLATES.values() for t in ts])
-        few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives)
-        few = few.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("_x"))
-        few = few.where(~F.exists(known, lambda k: F.contains(F.lower("_x"), k))).select(F.lit(0.0).alias("label"), tokens(F.col("_x")).alias("_t")).where(F.size("_t") > 0)
-        both = keep(stated.union(few)).withColumn("_held", F.pmod(F.xxhash64("label", "_t"), F.lit(5)) == 0)
-        ready = features(both.coalesce(1), buckets).cache()
-        self.fitted = LogisticRegression(featuresCol="_f", labelCol="label", family="multinomial", maxIter=40, regParam=1e-4, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred").fit(ready)
-        held = self.fitted.transform(ready.where("_held")).select("label", vector_to_array("_raw").alias("_z"))
-        temperatures = F.explode(F.array(*[F.lit(0.25 * 1.15**k) for k in range(24)]))
+                held = k == label % len(TEMPLATES.get(family, [0])) if family != "none" else k % 5 == 0
+                rows += [(float(label), held, x) for x in sorted(forms if family != "none" else {text})] * (3 if family != "none" else 8)
+        stated = spark.createDataFrame(rows, "label double, _held boolean, _x string").select("label", "_held", tokens(F.col("_x")).alias("_t"))
+        # only the ids are ranked; the texts stay where they are
+        few = keep(docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives))
+        lines = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi").where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("_x")).select(tokens(F.col("_x")).alias("_t")).where(F.size("_t") > 0)
+        known = spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "_x string").agg(F.collect_list(F.array_distinct(tokens(F.col("_x")))).alias("_known"))
+        like = F.exists("_known", lambda k: F.size(F.array_intersect(k, F.col("_t"))) >= 0.6 * F.size(k))  # a licence in other words is no negative
+        lines = lines.crossJoin(F.broadcast(known)).where(~like).select(F.lit(0.0).alias("label"), (F.pmod(F.xxhash64("_t"), F.lit(5)) == 0).alias("_held"), "_t")
+        both = keep(stated.union(lines))
+        ready = features(both.coalesce(1), buckets)
+        self.fitted = self._fit(ready.where("NOT _held"))
+        held = keep(self.fitted.transform(ready.where("_held")).select("label", vector_to_array("_raw").alias("_z")))
+        temperatures = F.explode(F.array(*[F.lit(0.25 * 1.15**k) for k in range(18)]))  # 0.25 to 2.7: few held-back sentences would flatten everything
         loss = held.withColumn("_temp", temperatures).groupBy("_temp").agg(F.avg(-F.log(F.element_at(self._soft(F.col("_z"), F.col("_temp")), (F.col("label") + 1).cast("int")) + 1e-12)).alias("loss"))
         best = loss.orderBy("loss", "_temp").first()
         self.temperature = best[0] if best else 1.0
         top = F.array_max(F.slice(self._soft(F.col("_z"), F.lit(self.temperature)), 2, len(TEMPLATES)))
         wrong = held.where("label = 0").agg(F.percentile(top, F.lit(1 - most_unknown))).first()[0]
-        self.threshold = max(0.5, wrong or 0.0)
-        ready.unpersist()
-        self.buckets = buckets
+        self.threshold = min(max(0.5, wrong or 0.0), 0.9)  # with few held-back lines their quantile says little
+        self.fitted = self._fit(ready)
+
+    @staticmethod
+    def _fit(rows: DataFrame):
+        return LogisticRegression(featuresCol="_f", labelCol="label", family="multinomial", maxIter=40, regParam=1e-4, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred").fit(rows)
 
     @staticmethod
     def _soft(z, temperature):
@@ -100,9 +109,9 @@ class Model:
 def scan(docs: DataFrame, buckets: int = 1 << 13, negatives: int = 400, most_unknown: float = 0.005, least_similar: float = 0.5) -> DataFrame:
     """doc_id, paragraph, family, probability, template, similarity, confirmed of each paragraph (line) that states a licence.
 
-    The classifier is fitted on TEMPLATES, their parts, and the paragraphs of the first `negatives` documents by a hash of doc_id that state none of them; its probabilities are tempered on a fifth held back, and a family
-    counts from the probability that all but most_unknown of the held-back negatives stay under (one half at least). The family's template with the largest Jaccard similarity of words confirms it, from least_similar, or from 0.9 of the template's words found.
-    Null and empty texts and paragraphs without words give no row; repeated rows each give theirs; an empty table gives an empty result.
+    The classifier is fitted on TEMPLATES, their parts, and the paragraphs of the first `negatives` documents by a hash of doc_id that share under 0.6 of the words of each; its probabilities are tempered on sentences and lines held back from a first fit, and a family
+    counts from the probability that all but most_unknown of the held-back negatives stay under (from one half to 0.9). The family's template with the largest Jaccard similarity of words confirms it, from least_similar, or from 0.9 of the template's words found.
+    Null and empty texts and paragraphs without words give no row; repeated rows each give theirs; rows without a doc_id are scanned like any other; very long texts are read line by line, whole; an empty table gives an empty result.
     """
     model = Model(docs, buckets, negatives, most_unknown)
     found = model.predict(paragraphs(docs))
