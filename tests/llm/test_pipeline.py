@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tripleweft.llm import queries
 
-from test_operators import SMALL, WORD, brute_components, brute_counts, brute_print, brute_tiles, brute_tokens
+from test_near_copies import kept_by_brute_force
+from test_operators import SMALL, WORD, brute_counts, brute_tiles, brute_tokens
 
 
 def brute_rules(rows):
@@ -31,8 +32,9 @@ def brute_rules(rows):
 
 
 def brute_near(rows):
-    found = brute_components({r["doc_id"]: brute_print(r["text"]) for r in rows})
-    return [r for r in rows if found[r["doc_id"]][1] == r["doc_id"]]
+    """The stage's rule: five words, a Jaccard similarity of 0.8 or more."""
+    ids = set(kept_by_brute_force([(r["doc_id"], r["text"]) for r in rows]))
+    return [r for r in rows if r["doc_id"] in ids]
 
 
 def brute_clean(rows, items):
