@@ -2,9 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import keep
+
 
 def aggregate_edges(raw: DataFrame) -> DataFrame:
     """Raw edges by subject, predicate, object, domain_tags and edge_type (trimmed, null as ''): sums of counts (null as 1), maxima of the rest."""
@@ -29,11 +32,14 @@ def top_neighbors(edges: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node, depth of all that is reached from seeds(node) along edges(src, dst), breadth first; each node once."""
-    seen = seeds.select("node", F.lit(0).alias("depth"))
-    front = seen
+    """node, depth of all that is reached from seeds(node) along edges(src, dst), breadth first; each node once. Each level is written to the shared folder, and an empty one ends the search."""
+    edges = keep(edges.select("src", "dst").distinct())
+    seen = front = keep(seeds.select("node", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
-        front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"))
+        found = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = keep(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen
 
@@ -79,16 +85,65 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """src, dst, depth (the least, from 1) of all pairs that at most `depth` edges(src, dst) join."""
-    seen = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
-    front = seen
+    """src, dst, depth (the least, from 1) of all pairs that at most `depth` edges(src, dst) join. Each level is written to the shared folder."""
+    first = keep(edges.select("src", "dst").distinct())
+    seen = front = first.withColumn("depth", F.lit(1))
+    steps = first.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
     for d in range(2, depth + 1):
-        front = front.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst").select("src", F.col("_next").alias("dst")).distinct()
-        front = front.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(d).alias("depth"))
+        found = front.join(steps, "dst").select("src", F.col("_next").alias("dst")).distinct()
+        front = keep(found.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(d).alias("depth")))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen
 
 
+def mined_rules(edges: DataFrame) -> DataFrame:
+    """rule, p, s, o of what edges(s, p, o) imply: the same relation over two edges (transitive), turned round (symmetric), and of each subject to itself (reflexive). Loops imply nothing but the last."""
+    own = edges.where("s <> o").distinct()
+    ahead = own.select("p", "s", F.col("o").alias("mid")).join(own.select("p", F.col("s").alias("mid"), "o"), ["p", "mid"]).where("s <> o").select(F.lit("transitive").alias("rule"), "p", "s", "o").distinct()
+    back = own.select(F.lit("symmetric").alias("rule"), "p", F.col("o").alias("s"), F.col("s").alias("o"))
+    return ahead.unionByName(back).unionByName(edges.select(F.lit("reflexive").alias("rule"), "p", "s", F.col("s").alias("o")).distinct())
+
+
+def in_order(text: Column, terms: list[str]) -> Column:
+    """The text holds all terms, each after the end of the one before. One pass: the first place of each is the best one."""
+    at = F.lit(1)
+    found = F.lit(True)
+    for t in terms:
+        place = F.call_function("locate", F.lit(t), text, at)
+        found, at = found & (place > 0), place + len(t)
+    return found
+
+
+def cosine_neighbors(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float, block: int = 2000) -> DataFrame:
+    """a, b, cosine of queries and rows (key, vector) that are at least `least` alike, a row not with itself. Queries are put in blocks of about `block`, a row each, and every block meets every batch of rows; vectors are scaled once."""
+    import numpy as np
+
+    kinds = dict(rows.dtypes)
+    n = queries.count()
+    packs = queries.select((F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block))))).alias("_block"), F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    packs = keep(packs.groupBy("_block").agg(F.collect_list("_k").alias("keys"), F.collect_list("_v").alias("vectors")))  # `block` queries each
+
+    def each(batches):
+        for x in batches:
+            ids, own = x[key].to_numpy(), np.stack(x[vector].to_numpy()).astype(np.float64) if len(x) else None
+            if own is None:
+                continue
+            lengths = np.sqrt((own * own).sum(1))
+            for at, part in x.groupby("_block").indices.items():
+                keys, vectors = x["keys"].iloc[part[0]], np.stack(x["vectors"].iloc[part[0]]).astype(np.float64)
+                norms = np.sqrt((vectors * vectors).sum(1))
+                c = (vectors @ own[part].T) / (norms[:, None] * lengths[part][None, :] + 1e-9)
+                i, j = np.nonzero(c >= least)
+                a, b = np.asarray(keys)[i], ids[part][j]
+                yield pd.DataFrame({"a": a, "b": b, "cosine": c[i, j]})[a != b]
+
+    # a block of queries is one row; there are count / block of them, and each goes to all tasks in turn
+    met = rows.select(key, vector).crossJoin(packs)
+    return met.mapInPandas(each, f"a {kinds[key]}, b {kinds[key]}, cosine double")
+
+
 def narrowed(rows: DataFrame, **wanted) -> DataFrame:
     """rows where each named column has the value given, lies in a (least, most) of which either may be None, or is in a list; None asks nothing."""
     for column, value in wanted.items():

@@ -54,13 +54,16 @@ def gaps(edges: DataFrame) -> DataFrame:
 
 
 def coverage(edges: DataFrame) -> DataFrame:
-    """query_id, missing, coverage, confidence: the gaps, worst first, and the share of needed items that aren't among them; all of it where nothing is needed."""
+    """query_id, missing, coverage, confidence: the gaps, worst first, and the share of needed items that aren't among them; all of it where nothing is needed.
+
+    Gaps have four places and a packet's confidence three, so sums are kept as whole numbers and divided once.
+    """
     sums = gaps(edges).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "item")))), lambda x: x["item"]).alias("missing"),
-        (1 - F.count("place") / F.count("*")).alias("coverage"), F.avg("gap").alias("mean"))
-    own = F.col("p.confidence")
-    sure = F.when(F.col("mean").isNull(), own * 0.4).otherwise(F.least(own * 0.5 + F.col("mean") * 0.5 + 0.15, F.lit(0.95)))
-    return packets(edges).alias("p").join(sums, "query_id", "left").select("query_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce("coverage", F.lit(1.0)).alias("coverage"), sure.alias("confidence"))
+        (F.count("*") - F.count("place")).alias("held"), F.count("*").alias("n"), F.sum(F.round(F.col("gap") * 10000).cast("long")).alias("total"))
+    own, n = F.round(F.col("p.confidence") * 1000).cast("long"), F.col("n")
+    sure = F.when(n.isNull(), own * 4 / 10000).otherwise(F.least((own * 10 * n + F.col("total") + 3000 * n) / (20000 * n), F.lit(0.95)))
+    return packets(edges).alias("p").join(sums, "query_id", "left").select("query_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce(F.col("held") / n, F.lit(1.0)).alias("coverage"), sure.alias("confidence"))
 
 
 def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:

@@ -105,11 +105,12 @@ def ag28(spark, d):
     return k.agg(F.count_if(F.col("w") & F.col("g")).alias("tp"), F.count_if(~F.col("w") & F.col("g")).alias("fp"), F.count_if(F.col("w") & ~F.col("g")).alias("fn"))
 
 
-@query("ag29_keyword_overlap", """WITH k AS (SELECT DISTINCT l_returnflag AS model, l_partkey % 97 AS word FROM lineitem WHERE l_orderkey % 50 = 0), n AS (SELECT word, count(*) AS models FROM k GROUP BY 1)
-  SELECT count(*) FILTER (models = 3) AS common, count(*) FILTER (models = 1) AS single FROM n""")
+@query("ag29_keyword_overlap", """WITH k AS (SELECT DISTINCT o_orderpriority AS model, l_shipdate AS word FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT word, count(*) AS models FROM k GROUP BY 1)
+  SELECT count(*) FILTER (models = 5) AS common, count(*) FILTER (models = 1) AS single FROM n""")
 def ag29(spark, d):
-    k = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").groupBy((F.col("l_partkey") % 97).alias("word")).agg(F.count_distinct("l_returnflag").alias("models"))
-    return k.agg(F.count_if(F.col("models") == 3).alias("common"), F.count_if(F.col("models") == 1).alias("single"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    k = table(spark, d, "lineitem").join(o, "l_orderkey").groupBy(F.col("l_shipdate").alias("word")).agg(F.count_distinct("o_orderpriority").alias("models"))
+    return k.agg(F.count_if(F.col("models") == 5).alias("common"), F.count_if(F.col("models") == 1).alias("single"))
 
 
 @query("ag30_running_average", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM events")
@@ -123,6 +124,23 @@ def ag34(spark, d):
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("ag34_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) AS rolled FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def ag34_rollup(spark, d):
+    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping("o_orderpriority").cast("long").alias("rolled"))
+
+
+@query("ag34_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def ag34_sets(spark, d):
+    return table(spark, d, "orders").groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("ag34_approximate_distinct", "SELECT o_orderstatus, abs(count(DISTINCT o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY 1")
+def ag34_approximate(spark, d):
+    """Whether the estimate lies within a tenth of the count."""
+    g = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("k"), F.count_distinct("o_custkey").alias("n"))
+    return g.select("o_orderstatus", (F.abs(F.col("k") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
+
+
 @query("jn03_either_domain", f"WITH {REL}, {ANC} SELECT predicate, count(*) AS n FROM relations r JOIN anchors a ON r.subject_id = a.id JOIN anchors b ON r.object_id = b.id WHERE a.domain LIKE 'Brand#1%' OR b.domain = '7' GROUP BY 1")
 def jn03(spark, d):
     a = anchors(spark, d).select("id", "domain")
@@ -177,10 +195,16 @@ def wn12(spark, d):
     return table(spark, d, "events").select("event_id", (1.0 - lost(1, 0.5) - lost(2, 0.25)).alias("weight"))
 
 
-@query("wn18_gap_pressure", "SELECT conv_id, turn, length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS rise FROM conversations")
+@query("wn18_gap_pressure", """WITH g AS (SELECT user_id, event_id, ts, CAST(count(*) FILTER (event_type = 'error') OVER w AS BIGINT) AS gaps, row_number() OVER w AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  c AS (SELECT *, lag(gaps) OVER w AS g0, lag(turn) OVER w AS t0 FROM g WHERE turn % 5 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY turn))
+  SELECT user_id, turn, (gaps - coalesce(g0, 0)) / (turn - coalesce(t0, 0)) AS pressure FROM c""")
 def wn18(spark, d):
-    n = F.length("text").cast("long")
-    return table(spark, d, "conversations").select("conv_id", "turn", (n - F.lag(n).over(Window.partitionBy("conv_id").orderBy("turn"))).alias("rise"))
+    """At every fifth turn of a user, the new gaps (errors) for each turn since the last check."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    g = table(spark, d, "events").select("user_id", F.sum((F.col("event_type") == "error").cast("long")).over(w).alias("gaps"), F.row_number().over(w).cast("long").alias("turn")).where("turn % 5 = 0")
+    before = Window.partitionBy("user_id").orderBy("turn")
+    since = lambda c: F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0))
+    return g.select("user_id", "turn", (since("gaps") / since("turn")).alias("pressure"))
 
 
 @query("srt01_mixed_order", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50")
@@ -219,12 +243,6 @@ def flt01(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O") & ~F.col("o_orderpriority").isin("1-URGENT") & F.col("o_totalprice").between(50000, 150000)).select("o_orderkey", "o_totalprice")
 
 
-@query("flt03_prefix_lookup", "SELECT p_partkey, p_name, CASE WHEN starts_with(p_name, 'p') THEN 0 ELSE 1 END AS place FROM part WHERE contains(p_name, 'a') ORDER BY place, length(p_name), p_partkey LIMIT 40")
-def flt03(spark, d):
-    place = F.when(F.col("p_name").startswith("p"), 0).otherwise(1)
-    return table(spark, d, "part").where(F.col("p_name").contains("a")).select("p_partkey", "p_name", place.alias("place")).orderBy("place", F.length("p_name"), "p_partkey").limit(40)
-
-
 @query("flt06_null_rules", f"WITH {REL} SELECT coalesce(nullif(trim(domain_tags), ''), 'none') AS tag, count(*) AS n, count(seen_count) AS counted FROM relations GROUP BY 1")
 def flt06(spark, d):
     tag = F.coalesce(F.nullif(F.trim("domain_tags"), F.lit("")), F.lit("none"))
@@ -261,11 +279,10 @@ def snk07(spark, d):
     return table(spark, d, "customer").join(top, "c_custkey", "left").select("c_custkey", F.coalesce("top", "c_acctbal").alias("v"))
 
 
-@query("gr17_transitive_closure", f"""WITH RECURSIVE {NATIONS}, e AS (SELECT subject_id AS src, object_id AS dst FROM nation_edges WHERE object_id IN (subject_id + 1, subject_id + 4)),
+@query("gr17_transitive_closure", f"""WITH RECURSIVE {NATIONS}, e AS (SELECT DISTINCT subject_id AS src, object_id AS dst FROM nation_edges),
   c AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT c.src, e.dst, depth + 1 FROM c JOIN e ON c.dst = e.src WHERE depth < 3) SELECT src, dst, min(depth) AS depth FROM c GROUP BY 1, 2""")
 def gr17(spark, d):
-    e = nation_edges(spark, d).where("object_id IN (subject_id + 1, subject_id + 4)").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
-    return graph.closure(e, 3)
+    return graph.closure(nation_edges(spark, d).select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")), 3)
 
 
 @query("gr30_sparse_nodes", f"WITH {REL}, {ANC}, n AS (SELECT subject_id AS id, count(*) AS n FROM relations GROUP BY 1) SELECT id, coalesce(n, 0) AS n, round(maturity / (coalesce(n, 0) + 1), 6) AS gap FROM anchors LEFT JOIN n USING (id) WHERE maturity >= 1000 AND coalesce(n, 0) <= 30")

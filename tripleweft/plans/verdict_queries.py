@@ -49,10 +49,11 @@ def cg06(spark, d):
     return verdicts.gaps(needing(spark, d)).where("place IS NOT NULL").select("query_id", F.col("place").cast("long").alias("place"), "item", "required_by", "p", "gap")
 
 
-@query("cg06_coverage", f"""WITH {GAPS}, z AS (SELECT query_id, string_agg(item, ',' ORDER BY place) FILTER (gap >= 0.2 AND place <= 8) AS missing, 1 - count(*) FILTER (gap >= 0.2 AND place <= 8) / count(*) AS coverage, avg(gap) AS mean FROM gaps GROUP BY 1)
-  SELECT query_id, coalesce(missing, '') AS missing, round(coalesce(coverage, 1.0), 6) AS coverage, round(CASE WHEN mean IS NULL THEN confidence * 0.4 ELSE least(confidence * 0.5 + mean * 0.5 + 0.15, 0.95) END, 6) AS confidence FROM packets LEFT JOIN z USING (query_id)""")
+@query("cg06_coverage", f"""WITH {GAPS}, z AS (SELECT query_id, string_agg(item, ',' ORDER BY place) FILTER (gap >= 0.2 AND place <= 8) AS missing, count(*) - count(*) FILTER (gap >= 0.2 AND place <= 8) AS held, count(*) AS n, CAST(sum(CAST(round(gap * 10000) AS BIGINT)) AS BIGINT) AS total FROM gaps GROUP BY 1),
+  k AS (SELECT *, CAST(round(confidence * 1000) AS BIGINT) AS c FROM packets LEFT JOIN z USING (query_id))
+  SELECT query_id, coalesce(missing, '') AS missing, coalesce(held / n, 1.0) AS coverage, CASE WHEN n IS NULL THEN (c * 4) / 10000 ELSE least((c * 10 * n + total + 3000 * n) / (20000 * n), 0.95) END AS confidence FROM k""")
 def cg06_coverage(spark, d):
-    return verdicts.coverage(needing(spark, d)).select("query_id", F.array_join("missing", ",").alias("missing"), F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"))
+    return verdicts.coverage(needing(spark, d)).withColumn("missing", F.array_join("missing", ","))
 
 
 def responses(definitions, assessed, last):

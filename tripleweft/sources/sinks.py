@@ -32,6 +32,38 @@ def update(rows: DataFrame, stats: DataFrame, key: list[str], columns: list[str]
     return reduce(lambda d, c: d.withColumn(c, F.coalesce(f"_new_{c}", c)).drop(f"_new_{c}"), columns, joined)
 
 
+def first_rule(rules: list[tuple[Column, Column]], rest: Column) -> Column:
+    """The value of the first rule whose condition holds; rest if none does."""
+    return reduce(lambda c, r: c.when(r[0], r[1]), rules, F).otherwise(rest)
+
+
+def purged(tree: DataFrame) -> DataFrame:
+    """The nodes of tree(id, parent, expired) that stay when expired leaves go, again and again: those that haven't expired, and whatever lies above them."""
+    from .storage import keep
+
+    stays = front = keep(tree.where("NOT expired").select("id"))
+    up = keep(tree.where("parent IS NOT NULL").select("id", "parent"))
+    while True:
+        front = keep(front.join(up, "id").select(F.col("parent").alias("id")).distinct().join(stays, "id", "left_anti"))
+        if front.isEmpty():
+            return stays.join(tree.select("id"), "id", "left_semi")
+        stays = keep(stays.union(front))
+
+
+def strengths(old: DataFrame, new: DataFrame, key: list[str], order: list) -> DataFrame:
+    """new rows with `strength`: which time their key comes, those of old counted before; the rank within new is by order."""
+    before = old.groupBy(*key).agg(F.count("*").alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return new.withColumn("_r", rank).join(before, key, "left").withColumn("strength", F.col("_r") + F.coalesce("_b", F.lit(0))).drop("_r", "_b")
+
+
+def exported(samples: DataFrame, path: str, batch: str) -> DataFrame:
+    """Writes samples(id, instruction, output, exported) not exported before as JSON lines (instruction, input, output) and gives all samples back, marked; rows of this batch carry its name."""
+    fresh = samples.where("NOT exported")
+    write_jsonl(fresh.select("instruction", F.lit("").alias("input"), "output"), path)
+    return samples.select("id", F.lit(True).alias("exported"), F.when(~F.col("exported"), batch).alias("batch"))
+
+
 def write_jsonl(rows: DataFrame, path: str, *by: str) -> None:
     """Appends JSON lines, a folder for each value of the columns in by."""
     rows.write.mode("append").partitionBy(*by).json(path) if by else rows.write.mode("append").json(path)
