@@ -113,10 +113,10 @@ def ag29(spark, d):
     return k.agg(F.count_if(F.col("models") == 5).alias("common"), F.count_if(F.col("models") == 1).alias("single"))
 
 
-@query("ag30_running_average", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM events")
+@query("ag30_running_average", "SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mean FROM events", rounded="mean")
 def ag30(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 6).alias("mean"))
+    return table(spark, d, "events").select("event_id", "user_id", F.avg("value").over(w).alias("mean"))
 
 
 @query("ag34_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
