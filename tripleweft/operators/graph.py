@@ -107,7 +107,7 @@ def mined_rules(edges: DataFrame) -> DataFrame:
 
 
 def in_order(text: Column, terms: list[str]) -> Column:
-    """The text holds all terms, each after the end of the one before. One pass: the first place of each is the best one."""
+    """The text holds all terms, each after the end of the one before; a null text holds none. One pass: the first place of each is the best one."""
     at = F.lit(1)
     found = F.lit(True)
     for t in terms:
