@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import features, packets, resolution
+from ..operators import code, features
 from ..sources import sinks
 from ..sources.tables import anchors, relations, table
 from .catalog import ANC, NATIONS, REL, nation_edges, query
 from .filter_queries import listed
-from .packet_queries import PACKET, packet_edges
 
 ASKED = ["what is the ring", "compare red vs blue", "why did it fail", "next step for the plan", "what is missing before it can run", "is it true that rings bind", "hello", "are you sure", "who are you"]
 LANES = ["knowledge", "project", "identity", "relationship"]
@@ -48,9 +47,6 @@ def cg09(spark, d):
     return found.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat(x["kind"], F.lit("="), F.array_join(x["texts"], ","))), ";"))
 
 
-REVIEW = "rules(k, s, p, approved) AS (VALUES (1, 'p1', 'causes', 0), (2, NULL, 'inhibits', 0), (3, 'p2', 'requires', 0))"
-
-
 @query("fm02_promoted_rows", f"WITH {REL}, ok AS (SELECT DISTINCT subject_id, predicate, object_id FROM relations WHERE confidence >= 0.5 AND predicate = 'causes'), known AS (SELECT DISTINCT subject_id, object_id FROM relations WHERE predicate = 'requires') SELECT *, 'linguistics' AS sem_domain FROM ok WHERE (subject_id, object_id) NOT IN (SELECT (subject_id, object_id) FROM known)")
 def fm02(spark, d):
     """Approved rows that aren't known yet, stamped with their domain."""
@@ -290,3 +286,32 @@ def gr46(spark, d):
     one = lambda s, p, o, c: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(c).alias("c"))
     u = F.array_compact(F.array(one(F.col("white"), "uses", F.col("opening"), 0.75), F.when(F.col("draw"), one(F.col("opening"), "leads_to", F.lit("draw"), 0.50)), F.when(F.col("blunders") >= 2, one(F.col("opening"), "requires", F.lit("tactics"), 0.80))))
     return g.select(F.explode(u).alias("x")).groupBy("x.s", "x.p", "x.o").agg(F.count("*").alias("seen"), F.max("x.c").alias("confidence"))
+
+
+CODE = "CASE p_partkey % 5 WHEN 0 THEN 'def f' || p_partkey || '(x):' || chr(10) || '    return \"' || p_name || '\" * x' WHEN 1 THEN '{\"a\": true, \"b\": null' WHEN 2 THEN 'SELECT * FROM ' || replace(p_name, ' ', '_') WHEN 3 THEN '{\"a\": [true]}' ELSE 'echo \"' || p_name END"
+
+
+def codes(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_name")
+    text = (F.when(k % 5 == 0, F.concat(F.lit("def f"), k, F.lit('(x):\n    return "'), n, F.lit('" * x'))).when(k % 5 == 1, F.lit('{"a": true, "b": null')).when(k % 5 == 2, F.concat(F.lit("SELECT * FROM "), F.replace(n, F.lit(" "), F.lit("_"))))
+            .when(k % 5 == 3, F.lit('{"a": [true]}')).otherwise(F.concat(F.lit('echo "'), n)))
+    return table(spark, d, "part").select(k.alias("id"), text.alias("text"))
+
+
+@query("fm18_languages", "SELECT p_partkey AS id, ['python', 'unknown', 'sql', 'python', 'bash'][1 + p_partkey % 5] AS language FROM part")
+def fm18(spark, d):
+    """A JSON text without null is a Python expression too, and Python is asked first."""
+    return code.languages(codes(spark, d))
+
+
+@query("fm26_code_units", f"WITH c AS (SELECT p_partkey AS id, {CODE} AS text FROM part) SELECT id, CASE WHEN id % 5 = 0 THEN 'function' ELSE 'module' END AS kind, CASE WHEN id % 5 = 0 THEN 'f' || id ELSE 'module' END AS name, md5(text) AS code FROM c WHERE id % 5 <> 3")
+def fm26(spark, d):
+    """Units under the hash of their text, each once."""
+    return code.units(codes(spark, d)).withColumn("code", F.md5("code")).dropDuplicates(["id", "code"])
+
+
+@query("fm09_stated_triples", "SELECT s, p, o, 'theory' AS domain FROM (VALUES ('tension', 'causes', 'motion'), ('motion', 'is_a', 'change')) t(s, p, o) UNION SELECT p_brand, 'part_of', p_type, 'theory' FROM part")
+def fm09(spark, d):
+    """Hand-stated triples beside those of a table, each once (FM-04, FM-09)."""
+    stated = spark.createDataFrame([("tension", "causes", "motion"), ("motion", "is_a", "change")], "s string, p string, o string")
+    return stated.unionByName(table(spark, d, "part").select(F.col("p_brand").alias("s"), F.lit("part_of").alias("p"), F.col("p_type").alias("o"))).distinct().withColumn("domain", F.lit("theory"))
