@@ -50,7 +50,8 @@ def plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7)
     rows = sized.groupBy(*KEY).agg(F.count("*").alias("_m"))
     order = [F.col("source").asc_nulls_last(), F.col("_h"), _id(), F.col("size")]
     rows = with_offsets(rows, order, {"_before": F.col("size") * F.col("_m")})
-    at = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    few = F.broadcast(goal) if goal.count() <= 100_000 else goal  # a source may hold a third of all rows; broadcast plans leave its rows where they are
+    at = rows.alias("r").join(few.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
     before = F.col("_before") - F.col("_start")
     at = at.where((before < F.col("rest")) & (F.col("rest") <= before + F.col("size") * F.col("_m")))
     at = at.select(F.col("r.source").alias("_s"), F.struct("_h", _id(), "size").alias("_cut"), F.floor((F.col("rest") - before) / F.col("_m")).cast("long").alias("_part"))
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7)
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
     Null or blank texts have size 0 and are taken 0 times; null sources are one source, the last; a source of no words has
-    target 0. Repeated rows share one part. An empty table gives an empty result. Other columns are not read.
+    target 0. Repeated rows share one part. Very long texts count whole. An empty table gives an empty result. Other columns are not read.
     """
     sized, goal = plan(docs, weights, max_epochs, seed)
     out = _taken(sized, goal)
