@@ -119,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed:
     """doc_id, item_id, item_tokens, covered_tokens, tiles, coverage of each row of docs (doc_id, text) and item (item_id, text) where tiles cover threshold of the item.
 
     Tokens are runs of word characters, lower-cased; tiles have at least `seed` tokens (the whole item, if it has fewer). The items are a stated query set: each block of them goes
-    to all documents. Null or blank texts and items match nothing; repeated rows each match; empty tables give an empty result.
+    to all documents. Null or blank texts and items match nothing; repeated rows each match; very long texts are searched whole; empty tables give an empty result.
     """
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_tokens long, covered_tokens long, tiles long, coverage double"

@@ -168,7 +168,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Every page is paired with its neighbour in the order of host, path and page_id that shares the longer start of its path (the one before, if equal); their lines are aligned,
     and lines in common are deleted, but not those in an article element, nor where nearly the whole page is shared (copies). Lines that the markup marks as menus, adverts and so on go too; where
-    a page has an article element, only its lines stay. Null pages are empty; null URLs are one host; repeated rows are extracted alike; an empty table gives an empty result.
+    a page has an article element, only its lines stay. Null pages are empty; null URLs are one host; repeated rows are extracted alike, and rows of one page_id by their own html; very long pages are read whole (alignment takes linear space); an empty table gives an empty result.
     """
     import xxhash
 

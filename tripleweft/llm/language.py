@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: tuple[list, np.ndarray]) -> DataFrame:
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang).
 
-    Learns from the rows with a language whose crc32 of the doc_id as text (null: the empty text) isn't divisible by folds. An empty table gives an empty result.
+    Learns from the rows with a language whose crc32 of the doc_id as text (null: the empty text) isn't divisible by folds. Very long texts are read whole, in slices; texts that are null or have no letter are und; repeated rows get the same answer; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0)
     return predict(rows, learn(rows.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")))

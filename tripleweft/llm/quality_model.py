@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, size: i
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text), from labels (doc_id, quality).
 
     held_out: crc32 of the doc_id as text (null: the empty text) leaves 1 modulo folds; only other rows' labels are learnt, at most `sample` of them, the first by a hash of doc_id. Word vectors come from all texts.
-    Null and blank texts are scored like a text of no words; with no label, scores come from an untrained network; repeated rows are scored alike; an empty table gives an empty result.
+    Null and blank texts are scored like a text of no words; with no label, scores come from an untrained network; repeated rows are scored alike; very long texts are read whole; an empty table gives an empty result.
     """
     held = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % folds == 1
     vectors = keep(pooled(docs, *word_vectors(docs, buckets, size, seed)))

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFram
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id linked to it, itself included) of every row of docs (doc_id, text).
 
     Fingerprints link at reach or fewer differing bits. Texts without words have fingerprint 0 and are linked like any other. Repeated rows get one answer each;
-    rows without a doc_id are never a component's id, and get null if they are linked to none that has one. An empty table gives an empty result.
+    rows without a doc_id are never a component's id, and get null if they are linked to none that has one. Very long texts are read whole. An empty table gives an empty result.
     """
     prints = keep(fingerprints(docs, width))
     reps = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")))

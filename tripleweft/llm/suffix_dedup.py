@@ -240,7 +240,7 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = True, **sizes)
     """doc_id, text (without the repeated bytes; a character that is cut goes), n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text).
 
     A byte goes if a string of `length` bytes over it also starts elsewhere, in this or another document; with keep_first, if it starts earlier (by doc_id, null first, then the text's hash, then place). Null texts are empty. Repeated rows are
-    told apart by their count only: keep_first treats them alike, as first or as copies. An empty table gives an empty result.
+    told apart by their count only: each is a place of its own, and keep_first treats them alike, as first or as copies. Very long texts are read whole, in pieces that overlap. Rows without a doc_id are rows like any other. An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
     gone = keep(spans(docs, length, keep_first, **sizes)).withColumnsRenamed({"doc_id": "_d", "_sig": "_s"})

@@ -175,7 +175,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, block_t
     """Writes the ids of every row of docs (doc_id, text), end_id after each, by ascending doc_id (null first; rows of one doc_id by their text's hash).
 
     Each range of documents is one file in folder; a row of it holds a block of whole documents, of block_tokens ids or one document: doc_ids,
-    ends (running counts of ids in the block) and data, a WaveletMatrix. Null texts are empty. Spark's committer drops what a lost executor left.
+    ends (running counts of ids in the block) and data, a WaveletMatrix. Null texts are empty; very long ones are a block of their own; repeated rows are written each. Spark's committer drops what a lost executor left.
     """
 
     def each(batches):
