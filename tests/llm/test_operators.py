@@ -124,7 +124,8 @@ def test_simhash(spark, documents):
     assert sorted(ids(simhash.deduplicated(documents))) == sorted({c for _, c in want.values()})
 
 
-def test_simhash_shards_lose_no_link(spark):
+@pytest.mark.parametrize("sizes", [{"shard_rows": 40}, {"shard_rows": 400, "most_rows": 100}])
+def test_simhash_shards_lose_no_link(spark, sizes):
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 1 << 62, 60, dtype=np.int64)
     fps = {0, 1, 3, 7}
@@ -136,7 +137,7 @@ def test_simhash_shards_lose_no_link(spark):
             fps.add(x)
     prints = dict(enumerate(sorted(fps)))
     reps = spark.createDataFrame([(p, d) for d, p in prints.items()], "fp long, rep long")
-    edges = simhash.links(reps, 2, shard_rows=40).collect()
+    edges = simhash.links(reps, 2, **sizes).collect()
     low, wanted = {d: d for d in prints}, brute_components(prints)
     for _ in range(len(prints)):
         before = dict(low)
