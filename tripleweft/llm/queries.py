@@ -3,17 +3,18 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language, licenses, mixing, quality_model, quality_rules, simhash, suffix_dedup, wavelet
+from . import centroids, decontaminate, html_extract, language, licenses, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, suffix_dedup, wavelet
 
-#: The vocabulary file; a parameter of the operator, kept out of the repository.
+#: The vocabulary files; parameters of the operators, kept out of the repository.
 VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
+BYTE_VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, benchmark, pages, labels = (_table(x) for x in ("documents", "benchmark", "pages", "labels"))
+documents, benchmark, pages, labels, conversations, embeddings = (_table(x) for x in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"))
 
 
 def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,18 @@ def op10_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(conversations(spark, sf_dir))
+
+
+def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), BYTE_VOCABULARY)
+
+
+def op13_kd_tree_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(embeddings(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
