@@ -224,13 +224,16 @@ def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows:
 def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id linked to it, itself included) of every row of docs (doc_id, text).
 
-    Fingerprints link at reach or fewer differing bits. Texts without words have fingerprint 0 and are linked like any other. Repeated rows get one answer each;
-    rows without a doc_id are never a component's id, and get null if they are linked to none that has one. Very long texts are read whole. An empty table gives an empty result.
+    Fingerprints link at reach or fewer differing bits, whatever rows have them. Texts without words have fingerprint 0 and are linked like any other. Repeated rows get one answer each;
+    rows of one doc_id with several texts are linked by each text's fingerprint on its own. Rows without a doc_id link others like any row, are never a component's id, and get null if they are linked to none
+    that has one. Very long texts are read whole. An empty table gives an empty result.
     """
     prints = keep(fingerprints(docs, width))
-    reps = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")))
-    found = components(links(reps.where("rep IS NOT NULL").select("fp", "rep"), reach)).withColumnsRenamed({"node": "_n", "component": "_c"})
-    named = keep(reps.join(found, F.col("rep") == F.col("_n"), "left").select("fp", "_rows", F.coalesce("_c", "rep").alias("component_id")))
+    reps = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")))
+    found = components(links(reps.select("fp", F.col("fp").alias("rep")), reach)).withColumnsRenamed({"node": "_n", "component": "_c"})
+    grouped = keep(reps.join(found, F.col("fp") == F.col("_n"), "left").select("fp", "_rows", "_least", F.coalesce("_c", "fp").alias("_group")))
+    least = keep(grouped.groupBy("_group").agg(F.min("_least").alias("component_id"), F.count("*").alias("_size")))
+    named = keep(join_counted(grouped.select("fp", "_rows", "_group"), least, ["_group"], "_size").select("fp", "_rows", "component_id"))
     out = join_counted(prints, named, ["fp"], "_rows")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
