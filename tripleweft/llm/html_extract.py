@@ -17,12 +17,19 @@ SKIPPED = {"nav", "footer", "aside", "form", "head", "dialog", "button", "select
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
-NAMES = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|related|recommend\w*|shar(e|ing)|social|breadcrumbs?|menu\w*|nav|navbar|navigation|footer|masthead|comments?|disqus|respond|repl(y|ies)|pagination|pager|toolbar|login|signup|skip)$")
+#: Whole names of classes and ids that mark what isn't the page's text: a thing's name, or that name with a container's behind it ("ad-slot", "comment_list").
+NAMES = re.compile(
+    r"^(ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsor|sponsors|sponsored|promo|promos|promotion|banner|banners|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|widgets?|related|recommended|recommendations"
+    r"|shar(e|ing)|social|breadcrumbs?|menus?|menubar|nav|navbar|navigation|footer|masthead|comments?|disqus|respond|repl(y|ies)|pagination|pager|toolbar|login|signup|skip)"
+    r"([-_](slots?|units?|box|boxes|container|wrapper|wrap|area|block|bar|buttons?|links?|list|section|thread|form|signup|widgets?|popup|modal|banner|notice|overlay|posts?|articles?))*$"
+)
+#: Of these, what may stand inside an article: adverts, readers' comments, rows of buttons and boxes laid over it. Anything else in an article is its text, whatever it is called.
+INSIDE = re.compile(r"^(ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsored|cookies?|consent|gdpr|newsletter|comments?|disqus|respond|social|shar(e|ing)[-_](bar|buttons?|links?)|related[-_](posts?|articles?|links?)|breadcrumbs?|navbar|pagination|pager)([-_](slots?|units?|box|container|wrapper|area|block|bar|list|section|thread|form|signup|banner|notice))*$")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements that hold the page's content whatever classes a theme sets on them.
 HOLDERS = {"html", "body", "main", "article"}
-DROPPED, PLAIN, ARTICLE = 0, 1, 2
+DROPPED, PLAIN, ARTICLE, LINKS = 0, 1, 2, 3
 
 
 def _zone(name: str, attributes: str, now: int, reopen: bool = False) -> int:
@@ -30,8 +37,9 @@ def _zone(name: str, attributes: str, now: int, reopen: bool = False) -> int:
     if now == DROPPED and not (reopen and name == "article"):
         return now
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    tokens = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    if name in SKIPPED or name == "header" and now != ARTICLE or name not in HOLDERS and any(NAMES.match(x) for x in tokens) or now != ARTICLE and "header" in tokens and name == "div":
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    names = INSIDE if now == ARTICLE else NAMES
+    if name in SKIPPED or name == "header" and now != ARTICLE or name not in HOLDERS and any(names.match(x) for x in tokens) or now != ARTICLE and name == "div" and any(re.match(r"(site|page|main)?[-_]?header$", x) for x in tokens):
         return DROPPED
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")) or re.search(r"(^|\s)hidden(\s|$)", ATTRIBUTE.sub(" ", attributes)):
         return DROPPED
@@ -41,7 +49,7 @@ def _zone(name: str, attributes: str, now: int, reopen: bool = False) -> int:
 def lines(page: str | None) -> list[tuple[str, int]]:
     """A page's blocks of text in order, each with its zone. If its article lies in a dropped element and is longer than all that is left, it is read from there."""
     out = _lines(page)
-    if "<article" in (page or "").lower() and all(z != ARTICLE for _, z in out):
+    if "<article" in (page or "").lower() and all(z < ARTICLE for _, z in out):
         again = _lines(page, reopen=True)
         size = lambda found, zone: sum(len(t) for t, z in found if z == zone)
         if size(again, ARTICLE) > size(out, PLAIN):
@@ -50,18 +58,25 @@ def lines(page: str | None) -> list[tuple[str, int]]:
 
 
 def _lines(page: str | None, reopen: bool = False) -> list[tuple[str, int]]:
-    """A page's blocks of text in order, each with its zone: dropped by markup, plain, or of the article. Unclosed elements end where an outer one does."""
-    out, held, zone, stack, at = [], [], PLAIN, [], 0
+    """A page's blocks of text in order, each with its zone: dropped by markup, plain, of the article, or of the article and nothing but links. Unclosed elements end where an outer one does."""
+    out, held, zone, stack, at, loose = [], [], PLAIN, [], 0, False
     page = page or ""
 
+    def take(text):
+        nonlocal loose
+        held.append(text)
+        loose = loose or bool(text) and not text.isspace() and not any(n == "a" for n, _ in stack)
+
     def flush():
+        nonlocal loose
         text = " ".join(_html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, zone))
+            out.append((text, zone if loose or zone != ARTICLE else LINKS))
+        loose = False
 
     while m := TAG.search(page, at):
-        held.append(page[at : m.start()])
+        take(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -103,7 +118,7 @@ def _lines(page: str | None, reopen: bool = False) -> list[tuple[str, int]]:
                 flush()
         stack.append((name, zone))
         zone = zone if inside is None else inside
-    held.append(page[at:])
+    take(page[at:])
     flush()
     return out
 
@@ -167,7 +182,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
     Every page is paired with its neighbour in the order of host, path and page_id that shares the longer start of its path (the one before, if equal); their lines are aligned,
-    and lines in common are deleted, but not those in an article element, nor where nearly the whole page is shared (copies). Lines that the markup marks as menus, adverts and so on go too; where
+    and lines in common are deleted: outside an article element all of them (but where nearly the whole page is shared, as in copies), inside one only those that are nothing but links, since sentences may recur. Lines that the markup marks as menus, adverts and so on go too; where
     a page has an article element, only its lines stay. Null pages are empty; null URLs are one host; repeated rows are extracted alike, and rows of one page_id by their own html; very long pages are read whole (alignment takes linear space); an empty table gives an empty result.
     """
     import xxhash
@@ -183,7 +198,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield {k: b[k] for k in ("page_id", "_sig", "host", "path")} | {
                 "hashes": [np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in f], np.uint64).view(np.int64) for f in found], "zones": [bytes(z for _, z in f) for f in found]}
 
-    flat = arrow_map(pages.withColumns({"host": host, "path": path}).select("page_id", "_sig", "host", "path", "html"), sketch, f"page_id {kind}, _sig long, host string, path string, hashes array<long>, zones binary")
+    flat = keep(arrow_map(pages.withColumns({"host": host, "path": path}).select("page_id", "_sig", "host", "path", "html"), sketch, f"page_id {kind}, _sig long, host string, path string, hashes array<long>, zones binary"))  # each page is parsed once here and once for its text
     placed = keep(with_offsets(flat, ["host", "path", "page_id", "_sig"], {"_pos": F.lit(1)}))
     side = lambda k, by: placed.select((F.col("_pos") + by).alias("_pos"), *[F.col(c).alias(f"{k}_{c}") for c in ("host", "path", "hashes")])
     near = placed.join(side("a", 1), "_pos", "left").join(side("b", -1), "_pos", "left")
@@ -193,13 +208,14 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = {"page_id": [], "_sig": [], "_drop": []}
             for r in zip(*[b[k].to_pylist() for k in ("page_id", "_sig", "host", "path", "hashes", "zones", "a_host", "a_path", "a_hashes", "b_host", "b_path", "b_hashes")]):
-                own, zones, best = r[4], r[5], None
+                mine, zones, best = r[4], r[5], None
                 for other in (r[6:9], r[9:12]):
                     if other[0] == r[2] and (best is None or start(r[3], other[1]) > start(r[3], best[1])):
                         best = other
-                common = shared(own, best[2]) if best else []
-                drop = [i for i in common if zones[i] == PLAIN]
-                if drop and ARTICLE not in zones and len(drop) < 0.9 * zones.count(PLAIN):
+                common = shared(mine, best[2]) if best else []
+                own = LINKS if ARTICLE in zones else PLAIN
+                drop = [i for i in common if zones[i] == own]
+                if drop and (own == LINKS or LINKS not in zones and len(drop) < 0.9 * zones.count(PLAIN)):
                     for k, v in zip(rows, (r[0], r[1], drop)):
                         rows[k].append(v)
             yield rows
@@ -214,7 +230,7 @@ def extract(pages: DataFrame) -> DataFrame:
             out = []
             for x, drop in zip(b["html"], b["_drop"].to_pylist()):
                 found, gone = lines(x.as_py()), set(drop or ())
-                least = ARTICLE if any(z == ARTICLE for _, z in found) else PLAIN
+                least = ARTICLE if any(z >= ARTICLE for _, z in found) else PLAIN
                 out.append(" ".join(t for i, (t, z) in enumerate(found) if z >= least and i not in gone).encode("utf-8", "replace").decode())
             yield {"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]}
 
