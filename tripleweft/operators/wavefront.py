@@ -66,19 +66,30 @@ def activation(active: Column, gate: Column, depth) -> Column:
     return (ALPHA * c + BETA * d) * F.exp(-LAMBDA * depth)
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, half: int, specific: int) -> DataFrame:
-    """node, direction, predicate, other and the other's columns: for each of nodes(node) and each direction, the `half` neighbours of greatest maturity and the `specific` ones by telling predicates."""
+def neighbors(edges: DataFrame, anchors: DataFrame, nodes: DataFrame | None = None, most: int = PER_NODE) -> DataFrame:
+    """node, direction, predicate, other, rank and the other's columns, written once for all levels to look up: for each node (or each of nodes(node)) and each direction, the `most` neighbours of greatest maturity, and the `most` with a telling predicate.
+
+    rank is the place by maturity, null beyond `most`; a neighbour that is not generic is always among the `most` telling ones if its rank is not null. The two lists are cut by row_number in plans of their
+    own, so that Spark cuts them before the shuffle as well, and a hub sends `most` rows from each task.
+    """
     side = lambda a, b, way: edges.select(F.col(a).alias("node"), F.col(b).alias("other"), "predicate", "edge_type", "domain_tags", F.lit(way).alias("direction"))
-    both = side("subject_id", "object_id", "out").union(side("object_id", "subject_id", "in")).join(nodes.select("node").distinct(), "node", "left_semi")
+    both = side("subject_id", "object_id", "out").union(side("object_id", "subject_id", "in"))
+    if nodes is not None:
+        both = both.join(nodes.select("node").distinct(), "node", "left_semi")
     rows = both.join(anchors.where(F.length("canonical") < 40).withColumnRenamed("id", "other"), "other").withColumn("generic", F.col("predicate").isin(GENERIC))
-    order = [F.desc("maturity"), "other", "predicate"]
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("node", "direction").orderBy(*order))).withColumn("_s", F.row_number().over(Window.partitionBy("node", "direction", "generic").orderBy(*order)))
-    return rows.where((F.col("_r") <= half) | ~F.col("generic") & (F.col("_s") <= specific)).drop("_r", "_s", "generic")
-
-
-def calibrated(queries: DataFrame, edges: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries with theta, family; the seeds' neighbours): the threshold by words and edge types, and the family of the commonest telling edge type about the seed (ties: the least name)."""
-    near = keep(queries.select("query_id", F.col("id").alias("node")).join(neighbors(queries.select(F.col("id").alias("node")), edges, anchors, PER_NODE, PER_NODE), "node"))
+    w = Window.partitionBy("node", "direction").orderBy(F.desc("maturity"), "other", "predicate")
+    cut = lambda df, n: df.withColumn(n, F.row_number().over(w)).where(F.col(n) <= most)
+    first = cut(rows, "rank")
+    telling = cut(rows.where(~F.col("generic")), "_s").drop("_s")
+    key = ["node", "direction", "other", "predicate"]
+    rest = telling.join(first.select(*key), key, "left_anti").withColumn("rank", F.lit(None).cast("int"))
+    return keep(first.unionByName(rest))
+
+
+def calibrated(queries: DataFrame, edges: DataFrame, anchors: DataFrame, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(queries with theta, family; the seeds' neighbours): the threshold by words and edge types, and the family of the commonest telling edge type about the seed (ties: the least name). near: the lists of `neighbors`, if there are any yet."""
+    seeds = queries.select("query_id", F.col("id").alias("node"))
+    near = keep(seeds.join(near if near is not None else neighbors(edges, anchors, seeds), "node").drop("rank", "generic"))
     types = near.where("edge_type IS NOT NULL").groupBy("query_id", "edge_type").agg(F.count("*").alias("n"))
     sums = types.groupBy("query_id").agg(F.count("*").alias("types"), F.min(F.when(F.col("edge_type") != "associative", F.struct(-F.col("n"), "edge_type")))["edge_type"].alias("primary"))
     family = lookup(FAMILIES, F.coalesce("primary", F.lit("associative")), F.array(F.lit("associative")))
@@ -87,43 +98,66 @@ def calibrated(queries: DataFrame, edges: DataFrame, anchors: DataFrame) -> tupl
     return out.drop("types"), near
 
 
-def infer(queries: DataFrame, edges: DataFrame, anchors: DataFrame, levels: int = 5, most: int = 15, override: Column | None = None) -> DataFrame:
-    """query_id, s, p, o (names), strength, place of the `most` best chains of each query: the seed's own telling edges first, then what the wavefront met.
+def _chain(direction: str = "direction"):
+    way = F.col(direction) == "out"
+    return [F.when(way, F.col("from_name")).otherwise(F.col("canonical")).alias("s"), F.col("predicate").alias("p"), F.when(way, F.col("canonical")).otherwise(F.col("from_name")).alias("o")]
+
 
-    A wave goes from each node to its neighbours that are clean, not met before and activated beyond the query's threshold; of each level the best MOST_VISITED nodes of a query go on, hubs don't.
-    override: the edge types that count as the query's own domain (of its columns); without it, the family and associative.
+def waves(asked: DataFrame, near: DataFrame, edges: DataFrame, anchors: DataFrame, levels: int, most: int) -> DataFrame:
+    """query_id, s, p, o, strength of every chain that the wavefront of each of asked(query_id, id, theta, active, family) meets; near: the lists of `neighbors`.
+
+    All queries go level by level in one plan. A query stops after a level that brings its chains to 4 * most or its visited nodes to MOST_VISITED, so deep levels are of the queries that still look for something.
     """
-    asked, near = calibrated(queries, edges, anchors)
-    asked = keep(asked.withColumn("active", override if override is not None else F.array_union("family", F.array(F.lit("associative")))))
-    state = asked.select("query_id", "theta", "active", "family", F.col("text").alias("seed"))
-    names = anchors.select(F.col("id").alias("node"), F.col("canonical").alias("from_name"))
-    chain = lambda a, b: [F.when(F.col("direction") == "out", a).otherwise(b).alias("s"), F.col("predicate").alias("p"), F.when(F.col("direction") == "out", b).otherwise(a).alias("o")]
     clean = clean_name(F.col("canonical"))
-    front = asked.select("query_id", F.col("id").alias("node"))
-    visited, found = front, None
+    state = asked.select("query_id", "theta", "active", "family")
+    names = anchors.select(F.col("id").alias("node"), F.col("canonical").alias("from_name"))
     degrees = edges.select(F.explode(F.array("subject_id", "object_id")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     hubs = keep(degrees.where(F.col("n") > HUB).select("node"))
+    lists = near.where((F.col("rank") <= PER_NODE // 2) | ~F.col("generic")).where(clean)
+    front = asked.select("query_id", F.col("id").alias("node"))
+    visited, spent, found = front, None, None
     for depth in range(1, levels + 1):
         goes_on = front if depth == 1 else front.join(hubs, "node", "left_anti")
-        met = goes_on.join(neighbors(goes_on, edges, anchors, PER_NODE // 2, PER_NODE), "node").where(clean)
-        met = met.join(visited.withColumnRenamed("node", "other"), ["query_id", "other"], "left_anti").join(state, "query_id")
+        met = goes_on.join(lists, "node").join(visited.withColumnRenamed("node", "other"), ["query_id", "other"], "left_anti").join(state, "query_id")
         met = keep(met.withColumn("a", activation(F.col("active"), F.col("family"), F.lit(depth))).where("a >= theta").join(names, "node"))
-        own = met.select("query_id", *chain(F.col("from_name"), F.col("canonical")), F.floor(F.col("a") * 100).cast("int").alias("strength"))
+        own = met.select("query_id", *_chain(), F.floor(F.col("a") * 100).cast("int").alias("strength"))
         found = own if found is None else found.unionByName(own)
         best = met.groupBy("query_id", F.col("other").alias("node")).agg(F.max("a").alias("a"))
-        best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("a"), "node"))).where(F.col("_n") <= MOST_VISITED)
-        front = keep(best.select("query_id", "node"))
+        best = keep(best.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("a"), "node"))).where(F.col("_n") <= MOST_VISITED).select("query_id", "node"))
+        if depth == levels or best.isEmpty():
+            break
+        visited = visited.union(best)
+        now = met.groupBy("query_id").agg(F.count("*").alias("chains"), F.lit(0).alias("nodes")).union(best.groupBy("query_id").agg(F.lit(0), F.count("*")))
+        spent = keep((now if spent is None else now.union(spent)).groupBy("query_id").agg(F.sum("chains").alias("chains"), F.sum("nodes").alias("nodes")))
+        front = keep(best.join(spent.where((F.col("chains") < 4 * most) & (F.col("nodes") + 1 < MOST_VISITED)), "query_id", "left_semi"))
         if front.isEmpty():
             break
-        visited = keep(visited.union(front))
-    seed = near.where(~F.col("predicate").isin(UNTOLD) & clean).join(state, "query_id").withColumn("domain_tags", F.lit("")).withColumn("a", activation(F.col("active"), F.col("family"), F.lit(1))).where("a >= theta * 0.5").join(names, "node")
-    seed = seed.select("query_id", *chain(F.col("from_name"), F.col("canonical")), F.greatest(F.floor(F.col("a") * 100).cast("int"), F.lit(1)).alias("strength"))
+    return found
+
+
+def chosen(asked: DataFrame, seeds: DataFrame, found: DataFrame, anchors: DataFrame, most: int) -> DataFrame:
+    """query_id, s, p, o, strength, place: of each query the `most` best chains, the seed's own telling edges first, then what the wavefront found."""
+    names = anchors.select(F.col("id").alias("node"), F.col("canonical").alias("from_name"))
+    seed = seeds.where(~F.col("predicate").isin(UNTOLD) & clean_name(F.col("canonical"))).join(asked.select("query_id", "theta", "active", "family"), "query_id").withColumn("domain_tags", F.lit(""))
+    seed = seed.withColumn("a", activation(F.col("active"), F.col("family"), F.lit(1))).where("a >= theta * 0.5").join(names, "node")
+    seed = seed.select("query_id", *_chain(), F.greatest(F.floor(F.col("a") * 100).cast("int"), F.lit(1)).alias("strength"))
     both = seed.withColumn("later", F.lit(0)).unionByName(found.withColumn("later", F.lit(1))).groupBy("query_id", "s", "p", "o").agg(F.min(F.struct("later", -F.col("strength"))).alias("x"))
     both = both.select("query_id", "s", "p", "o", "x.later", (-F.col("x.col2")).alias("strength"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("later", F.desc("strength"), "s", "p", "o"))
     return both.withColumn("place", place).where(F.col("place") <= most).drop("later")
 
 
+def infer(queries: DataFrame, edges: DataFrame, anchors: DataFrame, levels: int = 5, most: int = 15) -> DataFrame:
+    """query_id, s, p, o (names), strength, place of the `most` best chains of each query: the seed's own telling edges first, then what the wavefront met.
+
+    A wave goes from each node to its neighbours that are clean, not met before and activated beyond the query's threshold; of each level the best MOST_VISITED nodes of a query go on, hubs don't, and queries that have met enough stop.
+    """
+    near = neighbors(edges, anchors)
+    asked, seeds = calibrated(queries, edges, anchors, near)
+    asked = keep(asked.withColumn("active", F.array_union("family", F.array(F.lit("associative")))))
+    return chosen(asked, seeds, waves(asked, near, edges, anchors, levels, most), anchors, most)
+
+
 def candidate_scores(chains: DataFrame) -> DataFrame:
     """query_id, score, signal, quality, tag of each query's chains: 0.4 of their number (of 15), 0.4 of the mean strength weighed by predicate, 0.2 of the predicates (of 10)."""
     weight = lookup(TELLS, F.col("p"), F.lit(TELLS_ELSE))
@@ -135,19 +169,24 @@ def candidate_scores(chains: DataFrame) -> DataFrame:
     return g.select("query_id", "score", F.when(F.col("score") >= STRONG, "strong").when(F.col("score") >= MODERATE, "moderate").otherwise("weak").alias("signal"), "quality", tag.alias("tag"))
 
 
-def multipass(queries: DataFrame, edges: DataFrame, anchors: DataFrame, levels: int = 5) -> DataFrame:
-    """query_id, pass_used, score, tag: of three passes (own domain; with its neighbours; all edge types) over chains that name the query, the first with a score of 0.5 or more, else the best (ties: the earlier). Queries without a chain are left out."""
+def multipass(queries: DataFrame, edges: DataFrame, anchors: DataFrame, levels: int = 5, most: int = 15) -> DataFrame:
+    """query_id, pass_used, score, tag: of three passes (own domain; with its neighbours; all edge types) over chains that name the query, the first with a score of 0.5 or more, else the best (ties: the earlier). Queries without a chain are left out.
+
+    The three passes of all queries are one wavefront: each pass is a query of its own.
+    """
+    near = neighbors(edges, anchors)
+    asked, seeds = calibrated(queries, edges, anchors, near)
     primary = F.coalesce("primary", F.lit("associative"))
     wide = {k: sorted({*v, *(x for e in v for x in FAMILIES.get(e, []))}) for k, v in FAMILIES.items()}
-    passes = {"A": None, "B": lookup(wide, primary, F.array(F.lit("associative"))), "C": F.array(*[F.lit(x) for x in FAMILIES])}
-    scored = None
-    for name, override in passes.items():
-        c = infer(queries, edges, anchors, levels, override=override).join(queries.select("query_id", F.lower("text").alias("_q")), "query_id")
-        own = candidate_scores(c.where(F.lower(F.concat_ws(" | ", "s", "p", "o")).contains(F.col("_q")))).withColumn("pass_used", F.lit(name))
-        scored = own if scored is None else scored.unionByName(own)
+    active = {"A": F.array_union("family", F.array(F.lit("associative"))), "B": lookup(wide, primary, F.array(F.lit("associative"))), "C": F.array(*[F.lit(x) for x in FAMILIES])}
+    passes = F.explode(F.array(*[F.struct(F.lit(k).alias("pass_used"), v.alias("active")) for k, v in active.items()]))
+    each = lambda df: df.withColumn("query_id", F.struct("query_id", "_pass.pass_used"))
+    asked = keep(each(asked.withColumn("_pass", passes)).withColumn("active", F.col("_pass.active")).drop("_pass"))
+    seeds = seeds.join(asked.select(F.col("query_id").alias("_p"), F.col("query_id.query_id").alias("query_id")), "query_id").drop("query_id").withColumnRenamed("_p", "query_id")
+    c = chosen(asked, seeds, waves(asked, near, edges, anchors, levels, most), anchors, most).join(asked.select("query_id", F.lower("text").alias("_q")), "query_id")
+    scored = candidate_scores(c.where(F.lower(F.concat_ws(" | ", "s", "p", "o")).contains(F.col("_q")))).select("query_id.*", "score", "tag")
     enough = F.when((F.col("score") >= GOOD_ENOUGH) & (F.col("pass_used") != "C"), F.struct(F.lit(0.0).alias("k"), "pass_used")).otherwise(F.struct((1 - F.col("score")).alias("k"), "pass_used"))
-    best = keep(scored).withColumn("_k", enough)
-    return best.groupBy("query_id").agg(F.min_by(F.struct("pass_used", "score", "tag"), "_k").alias("x")).select("query_id", "x.*")
+    return scored.groupBy("query_id").agg(F.min_by(F.struct("pass_used", "score", "tag"), enough).alias("x")).select("query_id", "x.*")
 
 
 def categorised(chains: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def field(spark, d):
 
 
 NB = """both_ways AS (SELECT subject_id AS node, object_id AS other, predicate, edge_type, domain_tags, 'out' AS direction FROM e UNION ALL SELECT object_id, subject_id, predicate, edge_type, domain_tags, 'in' FROM e),
-  nb AS (SELECT b.*, o.canonical, o.maturity, o.attractor, o.object_domain, o.sem_domain, predicate IN ('related_to', 'co_occurs_with') AS generic, row_number() OVER (PARTITION BY node, direction ORDER BY maturity DESC, other, predicate) AS r, row_number() OVER (PARTITION BY node, direction, predicate IN ('related_to', 'co_occurs_with') ORDER BY maturity DESC, other, predicate) AS rs FROM both_ways b JOIN own o ON o.id = other WHERE length(canonical) < 40),
+  nb AS MATERIALIZED (SELECT b.*, o.canonical, o.maturity, o.attractor, o.object_domain, o.sem_domain, predicate IN ('related_to', 'co_occurs_with') AS generic, row_number() OVER (PARTITION BY node, direction ORDER BY maturity DESC, other, predicate) AS r, row_number() OVER (PARTITION BY node, direction, predicate IN ('related_to', 'co_occurs_with') ORDER BY maturity DESC, other, predicate) AS rs FROM both_ways b JOIN own o ON o.id = other WHERE length(canonical) < 40),
   near AS (SELECT query_id, nb.* FROM queries q JOIN nb ON node = q.id WHERE r <= 20 OR (NOT generic AND rs <= 20)),
   types AS (SELECT query_id, edge_type, count(*) AS n FROM near GROUP BY 1, 2), sums AS (SELECT query_id, count(*) AS types, min(row(-n, edge_type)) FILTER (edge_type <> 'associative') AS x FROM types GROUP BY 1),
   asked AS (SELECT q.*, greatest(0.10 :: DOUBLE - 0.005 :: DOUBLE * least(len(string_split(text, ' ')) + 0.5 :: DOUBLE * coalesce(types, 0), 10), 0.04 :: DOUBLE) AS theta, CASE WHEN x IS NULL THEN ['associative'] ELSE ['causal', 'functional', 'mechanistic'] END AS family FROM queries q LEFT JOIN sums USING (query_id))"""
@@ -41,13 +41,15 @@ def activation_sql(depth: int, tags: str, active: str) -> str:
 
 
 def wave_sql(levels: int, active: str, k: str = "") -> str:
-    """CTEs that end in chains{k}(query_id, s, p, o, strength, place)."""
+    """CTEs that end in chains{k}(query_id, s, p, o, strength, place). A query leaves the front after the level that brings it to 60 chains or 150 nodes."""
     out = [f"v0{k} AS (SELECT query_id, id AS node FROM asked)", f"f0{k} AS (SELECT * FROM v0{k})"]
     say = lambda x: f"CASE WHEN direction = 'out' THEN {x[0]} ELSE {x[1]} END"
     for i in range(1, levels + 1):
-        out.append(f"""m{i}{k} AS (SELECT * FROM (SELECT f.query_id, f.node, nb.* EXCLUDE (node), a.theta, a.family, {activation_sql(i, 'domain_tags', active)} AS a FROM f{i - 1}{k} f JOIN nb ON nb.node = f.node JOIN asked a ON a.query_id = f.query_id WHERE (r <= 10 OR (NOT generic AND rs <= 20)) AND {CLEAN} AND (f.query_id, other) NOT IN (SELECT (query_id, node) FROM v{i - 1}{k})) WHERE a >= theta)""")
-        out.append(f"f{i}{k} AS (SELECT query_id, node FROM (SELECT query_id, other AS node, max(a) AS a FROM m{i}{k} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a DESC, node) <= 150)")
-        out.append(f"v{i}{k} AS (SELECT * FROM v{i - 1}{k} UNION SELECT * FROM f{i}{k})")
+        out.append(f"""m{i}{k} AS MATERIALIZED (SELECT * FROM (SELECT f.query_id, f.node, nb.* EXCLUDE (node), a.theta, a.family, {activation_sql(i, 'domain_tags', active)} AS a FROM f{i - 1}{k} f JOIN nb ON nb.node = f.node JOIN asked a ON a.query_id = f.query_id WHERE (r <= 10 OR (NOT generic AND rs <= 20)) AND {CLEAN} AND NOT EXISTS (SELECT 1 FROM v{i - 1}{k} v WHERE v.query_id = f.query_id AND v.node = nb.other)) WHERE a >= theta)""")
+        out.append(f"g{i}{k} AS MATERIALIZED (SELECT query_id, node FROM (SELECT query_id, other AS node, max(a) AS a FROM m{i}{k} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a DESC, node) <= 150)")
+        out.append(f"v{i}{k} AS MATERIALIZED (SELECT * FROM v{i - 1}{k} UNION SELECT * FROM g{i}{k})")
+        met = " UNION ALL ".join(f"SELECT query_id FROM m{j}{k}" for j in range(1, i + 1))
+        out.append(f"e{i}{k} AS (SELECT query_id FROM ({met}) GROUP BY 1 HAVING count(*) >= 60 UNION SELECT query_id FROM v{i}{k} GROUP BY 1 HAVING count(*) >= 150), f{i}{k} AS MATERIALIZED (SELECT * FROM g{i}{k} WHERE query_id NOT IN (SELECT query_id FROM e{i}{k}))")
     waves = " UNION ALL ".join(f"SELECT query_id, {say(('w.canonical', 'm.canonical'))} AS s, predicate AS p, {say(('m.canonical', 'w.canonical'))} AS o, CAST(floor(a * 100) AS INTEGER) AS strength, 1 AS later FROM m{i}{k} m JOIN own w ON w.id = node" for i in range(1, levels + 1))
     seed = f"SELECT query_id, {say(('w.canonical', 'm.canonical'))} AS s, predicate AS p, {say(('m.canonical', 'w.canonical'))} AS o, greatest(CAST(floor(a * 100) AS INTEGER), 1) AS strength, 0 AS later FROM (SELECT n.*, theta, {activation_sql(1, chr(39) * 2, active)} AS a FROM near n JOIN asked USING (query_id) WHERE predicate NOT IN ('related_to', 'context_of') AND {CLEAN}) m JOIN own w ON w.id = node WHERE a >= theta * 0.5 :: DOUBLE"
     out.append(f"told{k} AS ({seed} UNION ALL {waves}), one{k} AS (SELECT query_id, s, p, o, min(row(later, -strength)) AS x FROM told{k} GROUP BY 1, 2, 3, 4)")
@@ -56,12 +58,13 @@ def wave_sql(levels: int, active: str, k: str = "") -> str:
 
 
 OWN = "list_distinct(list_concat(family, ['associative']))"
-WAVE = f"{FIELD}, {NB}, {wave_sql(2, OWN)}"
+LEVELS = 5
+WAVE = f"{FIELD}, {NB}, {wave_sql(LEVELS, OWN)}"
 
 
 def chains(spark, d):
     q, e, a = field(spark, d)
-    return q, wavefront.infer(q, e, a, levels=2)
+    return q, wavefront.infer(q, e, a, levels=LEVELS)
 
 
 @query("gr01_wavefront", f"WITH {WAVE} SELECT * FROM chains")
@@ -96,12 +99,12 @@ WIDE = "CASE WHEN list_contains(family, 'causal') THEN ['causal', 'functional',
 ALL = "[" + ", ".join(f"'{x}'" for x in wavefront.FAMILIES) + "]"
 
 
-@query("gr06_multipass", f"""WITH {FIELD}, {NB}, {wave_sql(1, OWN, 'a')}, {wave_sql(1, WIDE, 'b')}, {wave_sql(1, ALL, 'c')},
+@query("gr06_multipass", f"""WITH {FIELD}, {NB}, {wave_sql(LEVELS, OWN, 'a')}, {wave_sql(LEVELS, WIDE, 'b')}, {wave_sql(LEVELS, ALL, 'c')},
   named AS (SELECT 'A' AS pass_used, c.* FROM chainsa c UNION ALL SELECT 'B', c.* FROM chainsb c UNION ALL SELECT 'C', c.* FROM chainsc c), scored AS (SELECT query_id, pass_used, 0.4 :: DOUBLE * least(count(*) / 15, 1) + 0.4 :: DOUBLE * avg(strength * {WEIGHT}) / 100 + 0.2 :: DOUBLE * least(count(DISTINCT p) / 10, 1) AS score, avg(strength) FILTER (strength > 1) AS mean
     FROM named JOIN queries q USING (query_id) WHERE contains(lower(s || ' | ' || p || ' | ' || o), lower(text)) GROUP BY 1, 2)
   SELECT query_id, pass_used, score, CASE WHEN mean IS NULL THEN 'memory_only' WHEN mean / 100 < 0.3 THEN 'weak_signal' ELSE 'ok' END AS tag FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN score >= 0.5 AND pass_used <> 'C' THEN 0 ELSE 1 - score END, pass_used) = 1""", rounded="score")
 def gr06(spark, d):
-    return wavefront.multipass(*field(spark, d), levels=1)
+    return wavefront.multipass(*field(spark, d), levels=LEVELS)
 
 
 CATEGORISED = f"""{WAVE}, c AS (SELECT query_id, CASE WHEN p = 'causes' THEN 'causes' WHEN p = 'requires' THEN 'requires' ELSE 'other' END AS category, s, p, o, place AS k FROM chains WHERE s <> o),
@@ -126,12 +129,12 @@ def ag33(spark, d):
     return wavefront.capsule(chains(spark, d)[1])
 
 
-@query("srt04_wavefront_budget", f"WITH {WAVE} SELECT query_id, node FROM f1")
+@query("srt04_wavefront_budget", f"WITH {WAVE} SELECT query_id, node FROM g1")
 def srt04(spark, d):
     """The nodes of a level that go on: the best 150 of each query."""
     q, e, a = field(spark, d)
     asked, _ = wavefront.calibrated(q, e, a)
-    near = wavefront.neighbors(q.select(F.col("id").alias("node")), e, a, 10, 20).join(asked.select("query_id", F.col("id").alias("node"), "theta", "family"), "node")
+    near = wavefront.neighbors(e, a, q.select(F.col("id").alias("node"))).where((F.col("rank") <= 10) | ~F.col("generic")).join(asked.select("query_id", F.col("id").alias("node"), "theta", "family"), "node")
     active = F.array_union("family", F.array(F.lit("associative")))
     met = near.where(wavefront.clean_name(F.col("canonical")) & (F.col("other") != F.col("node"))).withColumn("a", wavefront.activation(active, F.col("family"), F.lit(1))).where("a >= theta")
     best = met.groupBy("query_id", F.col("other").alias("node")).agg(F.max("a").alias("a"))
