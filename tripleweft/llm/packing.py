@@ -1,5 +1,6 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree of bin capacities, in random groups of documents."""
 
+import re
 import zlib
 
 import numpy as np
@@ -12,11 +13,20 @@ from .common import arrow_map, keep
 _LOADED: dict = {}
 
 
+#: White space but spaces and newlines, and the mark used to cut: a text with one of them is cut with more care.
+ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: And so is one with white space twice in a row.
+TWICE = ("  ", "\n\n", " \n", "\n ")
+#: ASCII marks that are neither letters nor digits.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
 class SegmentEncoder:
     """The ids of whole texts by a byte-level vocabulary, which sees each segment of text once.
 
-    Its pattern takes a space in front of a word to that word, so a text may be cut before each single space that stands between two characters
-    that are not white space: the ids are those of the segments in turn. Texts with a special token's beginning are encoded whole. At most `most` segments are remembered.
+    Its pattern takes a space in front of a word to that word and never joins letters, marks and white space otherwise, so a text may be cut around a newline and before a space that stand alone between
+    characters that are not white space, and between a word and the marks behind it: the ids are those of the pieces in turn. Pieces are encoded many at a time, a newline between them.
+    Texts with a special token's beginning are encoded whole. At most `most` segments are remembered.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -24,29 +34,55 @@ class SegmentEncoder:
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def learn(self, segments: list) -> None:
-        for i in range(0, len(segments), 20_000):
-            part = segments[i : i + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[s] = np.array(e.ids, self.kind).tobytes()
+        self.newline = self._ids("\n")[0]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, segments) -> None:
+        known, plain, cut = self.known, set(), []
+        for s in segments:
+            stem = s.rstrip(MARKS)
+            if len(stem) < len(s) and stem and stem[-1].isalpha() and stem[-1] < "\u0250":  # letters of old, that all tables of letters have
+                cut.append((s, stem, s[len(stem) :]))
+                plain.update(cut[-1][1:])
+            else:
+                plain.add(s)
+        alone = [p for p in plain if "\n" in p or p[:1].isspace() and p[:1] != " " or p[-1:].isspace()]
+        for p in alone:
+            known[p] = self._ids(p).tobytes()
+        rest = [p for p in plain.difference(alone) if p not in known]
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            ids = self._ids("\n".join(part))
+            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            at = 0
+            for p, end in zip(part, ends, strict=True):
+                known[p] = ids[at:end].tobytes()
+                at = end + 1
+        for s, stem, marks in cut:
+            known[s] = known[stem] + known[marks]
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as bytes."""
         cut = [None if "<|" in t else segments(t) for t in texts]
-        new = set().union(*[c for c in cut if c]).difference(self.known)
+        found = [c and list(map(self.known.get, c)) for c in cut]
+        new = {s for c, f in zip(cut, found) if c and None in f for s, x in zip(c, f) if x is None}
         if len(self.known) + len(new) > self.most:
             self.known = {}
-            new = set().union(*[c for c in cut if c])
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        self.learn(new)
+        for c, f in zip(cut, found):
+            if c and None in f:
+                f[:] = [self.known[s] if x is None else x for s, x in zip(c, f)]
+        return [self._ids(t).tobytes() if f is None else b"".join(f) for t, f in zip(texts, found)]
 
 
 def segments(text: str) -> list[str]:
-    """text cut before single spaces between characters that are not white space."""
+    """text cut around single newlines and before single spaces; in texts with other white space, before single spaces alone."""
     if not text:
         return []
+    if not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in TWICE) and not ODD.search(text):
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
     parts = text.split(" ")
     out, held = [], parts[0]
     for p in parts[1:]:
