@@ -1,12 +1,12 @@
 """Graph operators over edges (subject_id, predicate, object_id, ...)."""
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import keep
+from .hot import join_degrees
+from .patterns import unify  # noqa: F401 (part of what can be asked of a graph)
 
 
 def aggregate_edges(raw: DataFrame) -> DataFrame:
@@ -44,37 +44,40 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def unify(pattern: list[tuple], edges: DataFrame, truth_floor: list | None = None, k: int = 8, ceiling: int = 64) -> DataFrame:
-    """Bindings of a pattern of (subject, predicate, object), each a literal, a ?variable or *; score: the product of confidences (none: 1e-6).
+def propagated(bridges: DataFrame, start: DataFrame, damping: float = 0.5, tolerance: float = 1e-10, rounds: int = 200, stride: int = 3) -> DataFrame:
+    """node, weight where weights no longer change: each node keeps 1 - damping of its weight in start(node, weight), and passes `damping` of what it has to its neighbours over bridges(a, b, resonance), by resonance; a node without bridges keeps it.
 
-    edges: subject_id, predicate, object_id, local_truth, local_confidence, is_bridge. Bridges pass any truth floor. One column for each variable. At most min(k, ceiling) best rows.
+    The sum of weights is that of start (nodes that only bridges name start with 0; bridges without resonance, and from a node to itself, don't count; repeated ones add up). Every `stride` steps the weights are written
+    to the shared folder and compared with those before; it ends when no sum of changes exceeds tolerance times the whole, which takes some log(tolerance) / log(damping) steps whatever the graph.
+    What reaches a hub is added up in each task first; what a hub sends out is joined where its bridges lie.
     """
-    if not pattern:
-        raise ValueError("empty pattern")
-    if truth_floor is not None:
-        edges = edges.where(F.col("local_truth").isin(truth_floor) | F.col("is_bridge"))
-    parts, names = [], []
-    for i, template in enumerate(pattern):
-        part, own = edges, {}
-        for column, term in zip(("subject_id", "predicate", "object_id"), template):
-            value = F.col(column).cast("string")
-            if str(term).startswith("?"):
-                if term in own:
-                    part = part.where(value == own[term])
-                own.setdefault(term, value)
-            elif term != "*":
-                part = part.where(value == str(term))
-        names += [v for v in own if v not in names]
-        parts.append(part.select(*[c.alias(v) for v, c in own.items()], F.greatest(F.coalesce("local_confidence", F.lit(0.0)), F.lit(1e-6)).alias(f"_c{i}"), F.col("is_bridge").alias(f"_b{i}")))
-
-    def step(a, b):
-        keys = [c for c in b.columns if c in a.columns]
-        return a.join(b, keys) if keys else a.crossJoin(b)
-
-    rows = reduce(step, parts)
-    rows = rows.withColumn("score", reduce(lambda x, y: x * y, [F.col(f"_c{i}") for i in range(len(parts))])).withColumn("hit_bridge", reduce(lambda x, y: x | y, [F.col(f"_b{i}") for i in range(len(parts))]))
-    columns = [F.col(f"`{n}`").alias(n[1:]) for n in names]
-    return rows.select(*columns, "score", "hit_bridge").orderBy(F.desc("score"), *[n[1:] for n in names]).limit(min(k, ceiling))
+    both = bridges.where("resonance > 0 AND a <> b").select(F.col("a").alias("node"), F.col("b").alias("to"), "resonance")
+    both = both.union(both.select(F.col("to").alias("node"), F.col("node").alias("to"), "resonance")).groupBy("node", "to").agg(F.sum("resonance").alias("r"))
+    both = keep(both)
+    out = keep(both.groupBy("node").agg(F.sum("r").alias("_all"), F.count("*").alias("_n")))
+    both = keep(join_degrees(both, out, "node", "_n").select("node", "to", (F.col("r") / F.col("_all")).alias("share")))
+    base = start.where("node IS NOT NULL").groupBy("node").agg(F.sum("weight").alias("base")).join(out.select("node", "_n"), "node", "full").select("node", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("_n", F.lit(0)).alias("_n"))
+    base = keep(base)
+    now, whole = base.withColumn("weight", F.col("base")), base.agg(F.sum(F.abs("base"))).first()[0]
+    if not whole:
+        return base.select("node", F.col("base").alias("weight"))
+
+    def step(now):
+        sent = join_degrees(both, now.where("_n > 0").select("node", "weight", "_n"), "node", "_n").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("weight") * F.col("share")).alias("_got"))
+        kept = F.when(F.col("_n") == 0, F.col("weight")).otherwise(0.0)
+        return now.join(sent, "node", "left").select("node", "base", "_n", ((1 - damping) * F.col("base") + damping * (kept + F.coalesce("_got", F.lit(0.0)))).alias("weight"))
+
+    for _ in range(0, rounds, stride):
+        before = now
+        for _ in range(stride - 1):
+            before = step(before)
+        now = step(before)
+        now = keep(now.join(before.select("node", F.col("weight").alias("_before")), "node"))
+        moved = now.agg(F.sum(F.abs(F.col("weight") - F.col("_before")))).first()[0]
+        now = now.drop("_before")
+        if moved <= tolerance * whole:
+            break
+    return now.select("node", "weight")
 
 
 def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:

@@ -42,6 +42,44 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int = 60, per_node: int = 8, least_seen: int = 2, most: int = 25) -> DataFrame:
+    """seed, path (array of node, predicate, node, ...), hops, place: of each of seeds(seed) the `most` longest paths of a search by breadth along edges(src, p, dst, seen), for all seeds in one plan.
+
+    From a node only the per_node edges seen most go on (least_seen at least; ties by dst, then p), and each node is entered once a seed, by the first edge of the first node in the queue. A node is not looked
+    at once max_nodes nodes are known to its seed; it then ends its path, as a node without edges does and one at max_hops. Nodes whose neighbours were all entered by others end no path.
+    A seed's queue holds under max_nodes + per_node nodes, so its windows are small; a hub's edges are cut to per_node before they are shuffled.
+    """
+    first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("seen"), "dst", "p"))
+    steps = edges.where((F.col("seen") >= least_seen) & (F.col("src") != F.col("dst"))).withColumn("_r", first).where(F.col("_r") <= per_node)
+    steps = keep(steps.select(F.col("src").alias("node"), "_r", "p", "dst"))
+    ends = steps.select("node").distinct()
+    front = keep(seeds.select("seed", F.col("seed").alias("node"), F.array(F.col("seed").cast("string")).alias("path"), F.lit(1).alias("_pos")).distinct())
+    visited, known, done = front.select("seed", "node"), None, []
+    for hops in range(max_hops):
+        met = front.join(steps, "node").select("seed", "_pos", "_r", "path", "p", F.col("dst").alias("node")).join(visited, ["seed", "node"], "left_anti")
+        entered = met.groupBy("seed", "node").agg(F.min_by(F.struct("_pos", "_r", "path", "p"), F.struct("_pos", "_r")).alias("x")).select("seed", "node", "x.*")
+        entered = keep(entered)
+        # how many nodes a seed knows before it looks at each node of the queue
+        before = F.sum("_new").over(Window.partitionBy("seed").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
+        queue = front.join(entered.groupBy("seed", "_pos").agg(F.count("*").alias("_new")), ["seed", "_pos"], "left").fillna(0, ["_new"])
+        queue = queue.withColumn("_known", F.lit(1)) if known is None else queue.join(known, "seed")
+        queue = queue.withColumn("_looked", F.col("_known") + F.coalesce(before, F.lit(0)) < max_nodes).join(ends.withColumn("_has", F.lit(True)), "node", "left")
+        queue = keep(queue.select("seed", "node", "path", "_pos", "_new", "_known", "_looked", "_has"))
+        if hops:
+            done.append(queue.where(~F.col("_looked") | F.col("_has").isNull()).select("seed", "path", F.lit(hops).alias("hops"), "_pos"))
+        known = queue.groupBy("seed").agg((F.max("_known") + F.sum(F.when(F.col("_looked"), F.col("_new")).otherwise(0))).alias("_known"))
+        children = entered.join(queue.where("_looked").select("seed", "_pos"), ["seed", "_pos"])
+        place = F.row_number().over(Window.partitionBy("seed").orderBy("_pos", "_r"))
+        front = keep(children.select("seed", "node", F.concat("path", F.array("p", F.col("node").cast("string"))).alias("path"), place.alias("_pos")))
+        known = keep(known)
+        if front.isEmpty():
+            break
+        visited = visited.union(front.select("seed", "node"))
+    done.append(front.select("seed", "path", F.lit(hops + 1).alias("hops"), "_pos"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("hops"), "_pos"))
+    return reduce(DataFrame.unionByName, done).withColumn("place", place).where(F.col("place") <= most).select("seed", "path", "hops", "place")
+
+
 def longest(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seed, path: of the nodes that each seed reaches, edges taken both ways, the path to the farthest (ties: the least path)."""
     both = edges.select("src", "dst").union(edges.select("dst", "src"))

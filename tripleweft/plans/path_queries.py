@@ -150,42 +150,7 @@ def set05(spark, d):
     return own.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("src", F.desc("c"), "v"))).where("_n <= 5").select("k", "v", "src")
 
 
-# --- paths between nations, along edges of a few orders ---
-THIN = f"{NATIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY n DESC, object_id) AS place FROM nation_edges WHERE subject_id <> object_id), thin AS (SELECT 'n' || subject_id AS src, CASE n % 2 WHEN 0 THEN 'causes' ELSE 'is_a' END AS p, 'n' || object_id AS dst FROM ranked WHERE place <= 2)"
-REACH = """walk AS (SELECT DISTINCT src AS seed, src AS node, [src] AS path, 0 AS depth FROM {0} UNION ALL SELECT seed, dst, list_append(path, dst), depth + 1 FROM walk JOIN {0} ON src = node WHERE depth < {1} AND NOT list_contains(path, dst)),
-  reached AS (SELECT seed, node, path FROM walk QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY depth, path) = 1)"""
-
-
-def thin(spark, d):
-    """Of each nation, the two edges of most lines."""
-    e = nation_edges(spark, d).where("subject_id <> object_id").withColumn("place", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("n"), "object_id"))).where("place <= 2")
-    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    return e.select(name("subject_id").alias("src"), F.when(F.col("n") % 2 == 0, "causes").otherwise("is_a").alias("p"), name("object_id").alias("dst"))
-
-
-@query("gr13_longest_path", f"WITH RECURSIVE {THIN}, both_ways AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM thin UNION ALL SELECT dst, src FROM thin)), {REACH.format('both_ways', 4)} SELECT seed, array_to_string(path, ' ') AS path FROM reached QUALIFY row_number() OVER (PARTITION BY seed ORDER BY len(path) DESC, path) = 1")
-def gr13(spark, d):
-    e = thin(spark, d)
-    return paths.longest(e, e.select(F.col("src").alias("seed")), 4).select("seed", F.array_join("path", " ").alias("path"))
-
-
-@query("gr14_forward_and_reverse", f"""WITH RECURSIVE {THIN}, labelled AS (SELECT src, dst, min(p) AS p FROM (SELECT src, dst, p FROM thin UNION ALL SELECT dst, src, '←' || p FROM thin) GROUP BY 1, 2), {REACH.format('labelled', 3)},
-  t AS (SELECT seed, path, row_number() OVER (PARTITION BY seed ORDER BY len(path), path) AS place FROM reached WHERE len(path) > 1 QUALIFY place <= 12)
-  SELECT seed, seed || string_agg(' —[' || p || ']→ ' || dst, '' ORDER BY i) AS chain, place FROM (SELECT *, unnest(range(1, len(path))) AS i FROM t) x JOIN labelled l ON l.src = x.path[i] AND l.dst = x.path[i + 1] GROUP BY seed, path, place""")
-def gr14(spark, d):
-    e = thin(spark, d)
-    return paths.inferred(e.select(F.col("src").alias("s"), "p", F.col("dst").alias("o")), e.select(F.col("src").alias("seed")).distinct(), depth=3).withColumn("place", F.col("place").cast("long"))
-
-
-@query("gr16_path_between", f"WITH RECURSIVE {THIN}, {REACH.format('thin', 4)} SELECT seed AS src, node AS dst, array_to_string(path, ' ') AS path FROM reached WHERE seed < node")
-def gr16(spark, d):
-    e = thin(spark, d).select("src", "dst").distinct()
-    nodes = e.select("src").distinct()
-    pairs = nodes.join(F.broadcast(nodes.withColumnRenamed("src", "dst")), F.col("src") < F.col("dst"))  # 25 nations
-    ends = e.select("dst").distinct()
-    return paths.between(e, pairs.join(ends, "dst", "left_semi"), 4).select("src", "dst", F.array_join("path", " ").alias("path"))
-
-
+# --- paths of two edges ---
 @query("wn04_best_by_first_hop", f"WITH {NAMED} SELECT src, p1, mid, p2, dst FROM (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY src, mid ORDER BY round(score, 9) DESC, dst, p1, p2) = 1) QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, mid) <= 25")
 def wn04(spark, d):
     """Of each start, the best path through each first hop, then the best 25."""
