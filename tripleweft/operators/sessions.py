@@ -23,6 +23,21 @@ LADDER = ["candidate", "verified_static", "verified_runtime", "regression_tested
 PROMOTES, FAILS, FINAL = {"passed_minimal": "verified_runtime", "passed_verified": "regression_tested", "passed_benchmarked": "benchmarked"}, ["failed_parse", "failed_static", "failed_runtime"], ["deprecated", "quarantined"]
 
 
+def follow(live: list, free: list, now: int, reach: float, patience: int) -> tuple[list, list]:
+    """(live tracks [name, x, y, last frame] after a frame; (id, name) of each of its detections). free: the frame's detections (id, x, y) by id; the oldest live track takes the nearest first."""
+    live, left, out = [t for t in live if now - t[3] <= patience + 1], list(free), []
+    for t in live:
+        if not left:
+            break
+        far = [np.hypot(x - t[1], y - t[2]) for _, x, y in left]
+        k = int(np.argmin(far))
+        if far[k] <= reach:
+            i, t[1], t[2] = left.pop(k)
+            t[3] = now
+            out.append((i, t[0]))
+    return live + [[i, x, y, now] for i, x, y in left], out + [(i, i) for i, _, _ in left]
+
+
 def track(detections: DataFrame, reach: float = MATCH_DISTANCE, patience: int = MOST_MISSING) -> DataFrame:
     """stream, frame, id, track of detections(stream, frame, id, label, x, y): each live track, oldest first, takes the nearest free detection of its label within reach (ties: the least id); a track ends after more than `patience` frames without one. A track's name is its first detection's id.
 
@@ -37,22 +52,9 @@ def track(detections: DataFrame, reach: float = MATCH_DISTANCE, patience: int =
         key, live, now, free, out = None, [], None, [], []
 
         def match():
-            """The frame's detections, free: (id, x, y), to the live tracks [name, x, y, last frame], oldest first."""
             nonlocal live
-            live = [t for t in live if now - t[3] <= patience + 1]
-            left = list(free)
-            for t in live:
-                if not left:
-                    break
-                far = [np.hypot(x - t[1], y - t[2]) for _, x, y in left]
-                k = int(np.argmin(far))
-                if far[k] <= reach:
-                    i, t[1], t[2] = left.pop(k)
-                    t[3] = now
-                    out.append((key[0], now, i, t[0]))
-            for i, x, y in left:
-                live.append([i, x, y, now])
-                out.append((key[0], now, i, i))
+            live, found = follow(live, free, now, reach, patience)
+            out.extend((key[0], now, i, name) for i, name in found)
 
         for b in batches:
             for stream, label, run, frame, i, x, y in zip(*[b[c].tolist() for c in ("stream", "label", "run", "frame", "id", "x", "y")]):
