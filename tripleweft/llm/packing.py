@@ -26,51 +26,60 @@ class SegmentEncoder:
 
     Its pattern takes a space in front of a word to that word and never joins letters, marks and white space otherwise, so a text may be cut around a newline and before a space that stand alone between
     characters that are not white space, and between a word and the marks behind it: the ids are those of the pieces in turn. Pieces are encoded many at a time, a newline between them.
-    Texts with a special token's beginning are encoded whole. At most `most` segments are remembered.
+    Texts with a special token's beginning are encoded whole. Some `most` segments are remembered: when half as many are new, those not met since the last time are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.old, self.half = Tokenizer.from_file(path), {}, {}, most // 2
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.newline = self._ids("\n")[0]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def learn(self, segments) -> None:
-        known, plain, cut = self.known, set(), []
+        known, old, plain, cut = self.known, self.old, set(), []
         for s in segments:
+            if s in old:
+                known[s] = old[s]
+                continue
+            if "\n" in s or s[-1:].isspace() or s[:1].isspace() and s[:1] != " ":
+                known[s] = self._ids(s).tobytes()
+                continue
             stem = s.rstrip(MARKS)
             if len(stem) < len(s) and stem and stem[-1].isalpha() and stem[-1] < "\u0250":  # letters of old, that all tables of letters have
-                cut.append((s, stem, s[len(stem) :]))
-                plain.update(cut[-1][1:])
+                marks = s[len(stem) :]
+                cut.append((s, stem, marks))
+                plain.add(stem)
+                plain.add(marks)
             else:
                 plain.add(s)
-        alone = [p for p in plain if "\n" in p or p[:1].isspace() and p[:1] != " " or p[-1:].isspace()]
-        for p in alone:
-            known[p] = self._ids(p).tobytes()
-        rest = [p for p in plain.difference(alone) if p not in known]
+        rest = []
+        for p in plain:
+            if p in old:
+                known[p] = old[p]
+            elif p not in known:
+                rest.append(p)
         for i in range(0, len(rest), 10_000):
             part = rest[i : i + 10_000]
             ids = self._ids("\n".join(part))
             ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            at = 0
+            raw, wide, at = ids.tobytes(), ids.itemsize, 0
             for p, end in zip(part, ends, strict=True):
-                known[p] = ids[at:end].tobytes()
+                known[p] = raw[at * wide : end * wide]
                 at = end + 1
         for s, stem, marks in cut:
             known[s] = known[stem] + known[marks]
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as bytes."""
+        if len(self.known) > self.half:
+            self.known, self.old = {}, self.known
         cut = [None if "<|" in t else segments(t) for t in texts]
         found = [c and list(map(self.known.get, c)) for c in cut]
-        new = {s for c, f in zip(cut, found) if c and None in f for s, x in zip(c, f) if x is None}
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-        self.learn(new)
+        self.learn({s for c, f in zip(cut, found) if c and None in f for s, x in zip(c, f) if x is None})
         for c, f in zip(cut, found):
             if c and None in f:
                 f[:] = [self.known[s] if x is None else x for s, x in zip(c, f)]
