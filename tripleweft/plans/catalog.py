@@ -356,4 +356,4 @@ def fm15(spark, d):
     return z.select("k", F.when(F.col("defect") > 0.3, "defect").when(F.col("doubt") > 0.052, "uncertain").when(F.col("n") < 550, "weak").otherwise("stable").alias("zone"))
 
 
-from . import feature_queries, filter_queries, join_queries, name_queries, packet_queries, path_queries, relational, scene_queries, search_queries, storage_queries, temporal_queries, verdict_queries  # noqa: E402, F401 (add their queries to those above)
+from . import dialogue_queries, feature_queries, filter_queries, join_queries, name_queries, packet_queries, path_queries, relational, scene_queries, search_queries, storage_queries, temporal_queries, verdict_queries  # noqa: E402, F401 (add their queries to those above)
