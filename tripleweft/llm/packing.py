@@ -79,10 +79,19 @@ class SegmentEncoder:
             self.known, self.old = {}, self.known
         cut = [None if "<|" in t else segments(t) for t in texts]
         found = [c and list(map(self.known.get, c)) for c in cut]
-        self.learn({s for c, f in zip(cut, found) if c and None in f for s, x in zip(c, f) if x is None})
+        missing = []
         for c, f in zip(cut, found):
-            if c and None in f:
-                f[:] = [self.known[s] if x is None else x for s, x in zip(c, f)]
+            at = []
+            if c:
+                i = -1
+                for _ in range(f.count(None)):
+                    i = f.index(None, i + 1)
+                    at.append(i)
+            missing.append(at)
+        self.learn({c[i] for c, at in zip(cut, missing) if at for i in at})
+        for c, f, at in zip(cut, found, missing):
+            for i in at:
+                f[i] = self.known[c[i]]
         return [self._ids(t).tobytes() if f is None else b"".join(f) for t, f in zip(texts, found)]
 
 
