@@ -169,14 +169,14 @@ def classify(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, size: i
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text), from labels (doc_id, quality).
 
     held_out: crc32 of the doc_id as text (null: the empty text) leaves 1 modulo folds; only other rows' labels are learnt, at most `sample` of them, the first by a hash of doc_id. Word vectors come from all texts.
-    Null and blank texts are scored like a text of no words; with no label, scores come from an untrained network; repeated rows are scored alike; very long texts are read whole; an empty table gives an empty result.
+    Of several labels of a doc_id the least counts, and of several texts the one with the least vector, so reruns learn the same. Null and blank texts are scored like a text of no words; with no label, scores come from an untrained network; repeated rows are scored alike; very long texts are read whole; an empty table gives an empty result.
     """
     held = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % folds == 1
     vectors = keep(pooled(docs, *word_vectors(docs, buckets, size, seed)))
     chosen = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held(F.col("doc_id")))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers, so it may be broadcast; the driver gets their vectors
-    known = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    known = vectors.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("vec").alias("vec"), F.min("quality").alias("quality")).toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(v, np.float32) for v in known["vec"]], np.float64).reshape(-1, 3 * size)
     network = Network(x, known["quality"].to_numpy(np.float64))
 
