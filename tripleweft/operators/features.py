@@ -33,8 +33,8 @@ LANES = {
 }
 SUPPORTS = {"COMPARE": ["contrasts_with", "differs_from", "similar_to", "related_to"], "FIND_GAPS": ["requires", "depends_on", "needs"], "PLAN_NEXT": ["requires", "enables", "depends_on", "blocks"]}
 INTENT, LANE, SUPPORT, STATE, COMMAND = 0.40, 0.25, 0.20, 0.10, 0.05
-# Trust in the source of a code unit, otherwise 0.7.
-TRUST = {"log_build": 1.0, "gap_search_local": 0.85, "web_search": 0.55, "selyrion_synthesized": 0.75, "selyrion_symbolic": 0.9}
+# Trust in the source of a code unit, otherwise 0.7. Callers add sources of their own.
+TRUST = {"log_build": 1.0, "gap_search_local": 0.85, "web_search": 0.55}
 
 
 def select_operators(questions: DataFrame) -> DataFrame:
@@ -121,11 +121,11 @@ def keywords(text: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(stop)))
 
 
-def retrieved(tasks: DataFrame, units: DataFrame, stop: list[str], limit: int = 5) -> DataFrame:
-    """task_id, unit_id, score, place: for each of tasks(task_id, text) the units(unit_id, code, source) that hold most of its keywords as words, times the trust in their source. Joined by keyword; ties by unit."""
+def retrieved(tasks: DataFrame, units: DataFrame, stop: list[str], limit: int = 5, trusted: dict[str, float] | None = None) -> DataFrame:
+    """task_id, unit_id, score, place: for each of tasks(task_id, text) the units(unit_id, code, source) that hold most of its keywords as words, times the trust in their source (TRUST, and what the caller adds in trusted). Joined by keyword; ties by unit."""
     asked = tasks.select("task_id", F.explode(keywords(F.col("text"), stop)).alias("word"))
     held = units.select("unit_id", "source", F.explode(keywords(F.col("code"), stop)).alias("word"))
-    trust = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair]), F.col("source")), F.lit(0.7))
+    trust = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (TRUST | (trusted or {})).items() for x in pair]), F.col("source")), F.lit(0.7))
     s = asked.join(held, "word").groupBy("task_id", "unit_id", "source").agg(F.count("*").alias("n")).withColumn("score", F.col("n") * trust)
     return s.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "unit_id"))).where(F.col("place") <= limit).select("task_id", "unit_id", "score", "place")
 

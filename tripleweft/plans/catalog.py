@@ -357,3 +357,4 @@ def fm15(spark, d):
 
 
 from . import dialogue_queries, feature_queries, filter_queries, join_queries, name_queries, packet_queries, path_queries, relational, scene_queries, search_queries, storage_queries, temporal_queries, verdict_queries  # noqa: E402, F401 (add their queries to those above)
+from . import brand_queries  # noqa: E402, F401 (builds on those)

@@ -71,3 +71,23 @@ def write_jsonl(rows: DataFrame, path: str, *by: str) -> None:
 
 def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_report(counts: DataFrame, path: str) -> None:
+    """Writes counts(section, name, n) as lines of text: a heading for each section with its sum, then its names, the most frequent first. Sections are dealt by range, so the files in order of name are the report in order."""
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "name"))
+    lines = counts.select("section", place.alias("place"), F.format_string("  %s: %d", "name", "n").alias("line"))
+    heads = counts.groupBy("section").agg(F.sum("n").alias("n")).select("section", F.lit(0).alias("place"), F.format_string("== %s (%d)", "section", "n").alias("line"))
+    rows = lines.unionByName(heads).repartitionByRange("section").sortWithinPartitions("section", "place")
+    rows.select("line").write.text(path)
+
+
+def read_report(spark, path: str) -> DataFrame:
+    """number, value: the lines of a report's files in order of name, numbered from 1."""
+    rows = spark.read.text(path).select("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"), "value")
+    by_file = Window.partitionBy("file_name").orderBy("_i")
+    rows = rows.withColumn("_n", F.row_number().over(by_file))
+    sizes = rows.groupBy("file_name").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = sizes.select("file_name", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    return rows.join(F.broadcast(starts), "file_name").select((F.col("_n") + F.col("_s")).alias("number"), "value")
