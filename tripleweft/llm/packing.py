@@ -29,7 +29,7 @@ class SegmentEncoder:
     Texts with a special token's beginning are encoded whole. Some `most` segments are remembered: when half as many are new, those not met since the last time are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old, self.half = Tokenizer.from_file(path), {}, {}, most // 2
