@@ -157,11 +157,19 @@ class Encoder:
     def encode(self, texts: list) -> list[np.ndarray]:
         raws = [(t or "").encode() for t in texts]
         raws = [(r if b"<|" in r else r.lower()).split() for r in raws]  # special tokens are spelt in one way only
-        wanted = set().union(*raws).difference(self.known)
-        if wanted:
-            self.add(set().union(*raws) if len(self.known) + len(wanted) > self.most else wanted)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, r)), self.kind) for r in raws]
+        found = [list(map(self.known.get, r)) for r in raws]
+        missing = []
+        for f in found:
+            at, i = [], -1
+            for _ in range(f.count(None)):
+                i = f.index(None, i + 1)
+                at.append(i)
+            missing.append(at)
+        self.add({r[i] for r, at in zip(raws, missing) for i in at})
+        for r, f, at in zip(raws, found, missing):
+            for i in at:
+                f[i] = self.known[r[i]]
+        return [np.frombuffer(b"".join(f), self.kind) for f in found]
 
 
 def encoder(path: str) -> Encoder:
@@ -205,8 +213,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, block_t
         if names:
             yield block()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))  # texts of one doc_id may lie in several ranges
+    dealt = dealt.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h").drop("_h")
     arrow_map(dealt, each, f"shard int, block int, n_tokens long, doc_ids array<{dict(docs.dtypes)['doc_id']}>, ends array<long>, data binary").write.parquet(folder)
 
 
