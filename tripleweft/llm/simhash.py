@@ -104,9 +104,9 @@ class VantageTree:
             stack.append((far, rows[d > radius - r]))
 
 
-def close_pairs(index: np.ndarray, queries: np.ndarray, reach: int, small: int = 192) -> np.ndarray:
-    """(i, q) of all pairs within reach: a vantage-point tree of the index is walked by all queries at once."""
-    out, rng = [np.zeros((0, 2), np.int64)], np.random.default_rng(5)
+def close_pairs(index: np.ndarray, queries: np.ndarray, reach: int, small: int = 192):
+    """Yields arrays of (i, q), of all pairs within reach: a vantage-point tree of the index is walked by all queries at once."""
+    rng = np.random.default_rng(5)
     stack = [(np.arange(len(index)), np.arange(len(queries)))]
     while stack:
         a, q = stack.pop()
@@ -127,8 +127,7 @@ def close_pairs(index: np.ndarray, queries: np.ndarray, reach: int, small: int =
                 continue
         for k in range(0, len(q), step := max(1, 4_000_000 // len(a))):
             x, y = np.nonzero(np.bitwise_count(index[a][:, None] ^ queries[q[k : k + step]][None, :]) <= reach)
-            out.append(np.stack((a[x], q[k : k + step][y]), 1))
-    return np.concatenate(out)
+            yield np.stack((a[x], q[k : k + step][y]), 1)
 
 
 def forest(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -147,11 +146,12 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows: int = 50_000, most_rows: int = 200_000) -> DataFrame:
+def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows: int = 50_000, most_rows: int = 200_000, most_pairs: int = 2_000_000) -> DataFrame:
     """Edges (u, v) between representatives that join all of reps(fp, rep) within reach: in each shard, a star for each of its groups.
 
     A tree over a bounded sample of the fingerprints (sample_rows) cuts space into shards; a fingerprint lies in one and, as a query, goes to every later shard
-    that the triangle bounds leave. Shards that more than most_rows fingerprints reach get a tree of their own, and so on, so that shards stay bounded whatever there is. Each shard finds its pairs exactly.
+    that the triangle bounds leave. Shards that more than most_rows fingerprints reach get a tree of their own, and so on, so that shards stay bounded; only a shard that its tree doesn't make smaller by a tenth (fingerprints that lie within reach of each other) is left as it is. Each shard finds its pairs
+    exactly and holds at most some most_pairs of them at a time.
     """
     kind = dict(reps.dtypes)["rep"]
     n = reps.count()
@@ -190,15 +190,17 @@ def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows:
                     yield {"leaf": [f"{leaf}.{below}"] * len(rows), "fp": fps[at[rows]].view(np.int64), "rep": reps_[at[rows]], "own": own}
 
     columns = f"leaf string, fp long, rep {kind}, own boolean"
-    routed, done, before = arrow_map(reps, route, columns), [], None
+    routed, done, above = arrow_map(reps, route, columns), [], None
     while True:
         routed = keep(routed)
-        sizes = keep(routed.groupBy("leaf").agg(F.count("*").alias("_rows"), F.count_if("own").alias("_own")).where(F.col("_rows") > most_rows))
-        crowded, largest = sizes.agg(F.count("*"), F.max("_rows")).first()
-        if not crowded or before is not None and largest >= before:
+        sizes = routed.groupBy("leaf").agg(F.count("*").alias("_rows"), F.count_if("own").alias("_own")).where(F.col("_rows") > most_rows)
+        if above is not None:  # a leaf of nearly all of what was split won't split
+            sizes = sizes.join(above, F.regexp_replace("leaf", "[.][^.]*$", "") == F.col("_leaf"), "left").where("_rows < 0.9 * coalesce(_before, _rows * 2)").select("leaf", "_rows", "_own")
+        sizes = keep(sizes)
+        if sizes.isEmpty():
             done.append(routed)
             break
-        before = largest
+        above = sizes.select(F.col("leaf").alias("_leaf"), F.col("_rows").alias("_before"))
         inside = join_counted(routed, sizes, ["leaf"], "_rows")
         # each crowded leaf's tree is grown over some 2,000 of its own fingerprints, chosen by hash
         few = inside.where("own").where(F.pmod(F.xxhash64("fp", "leaf"), F.greatest(F.lit(1), (F.col("_own") / 2000).cast("long"))) == 0)
@@ -209,9 +211,19 @@ def links(reps: DataFrame, reach: int = 2, shard_rows: int = 4000, sample_rows:
     def shard(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["rep", "fp"])
         fps, reps_, own = x["fp"].to_numpy(np.int64).view(np.uint64), x["rep"].to_numpy(), np.flatnonzero(x["own"].to_numpy())
-        pairs = close_pairs(fps[own], fps, reach)
-        pairs = np.stack((own[pairs[:, 0]], pairs[:, 1]), 1)
-        root = forest(len(fps), pairs[pairs[:, 0] != pairs[:, 1]])
+        root, held, many = np.arange(len(fps)), [], 0
+
+        def reduced():  # pairs become a forest as they come
+            tree = np.flatnonzero(root != np.arange(len(fps)))
+            return forest(len(fps), np.concatenate([np.stack((tree, root[tree]), 1), *held]))
+
+        for pairs in close_pairs(fps[own], fps, reach):
+            pairs = np.stack((own[pairs[:, 0]], pairs[:, 1]), 1)
+            held.append(pairs[pairs[:, 0] != pairs[:, 1]])
+            many += len(held[-1])
+            if many > most_pairs:
+                root, held, many = reduced(), [], 0
+        root = reduced()
         rest = np.flatnonzero(root != np.arange(len(fps)))
         return pd.DataFrame({"u": reps_[rest], "v": reps_[root[rest]]})
 
