@@ -21,10 +21,11 @@ def grams(texts: list, buckets: int):
 
     Texts are lower-cased, and what isn't a letter counts as a space; n-grams of spaces only are left out.
     """
-    joined = "   ".join(t.lower() for t in texts)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t.lower()) for t in texts]) + 3
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(chars)]
+    lower = [t.lower() for t in texts]
+    chars = np.frombuffer(("".join("  " + t for t in lower) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 2 for t in lower])  # each text with the spaces before it, so no n-gram of it holds letters of another
+    sizes[-1] += 2
+    doc = np.repeat(np.arange(len(texts)), sizes)
     letter = letters()[chars]
     c = np.where(letter, chars, np.uint32(32)).astype(np.uint64)
     a, b, d = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -89,7 +90,7 @@ def learn(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5) -> tu
 def predict(docs: DataFrame, model: tuple[list, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score: the likeliest language and its probability, from a text's mean log-probability times the root of its n-grams.
 
-    `und` with score 0: the text is null or has no letter, or no language was learnt. Repeated rows are predicted alike.
+    Languages that tie: the least name. `und` with score 0: the text is null or has no letter, or no language was learnt. Repeated rows are predicted alike, whatever rows are beside them.
     """
     langs, table = model
     table, prior = table[:-1].astype(np.float32), table[-1]
