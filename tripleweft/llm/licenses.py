@@ -110,7 +110,7 @@ def scan(docs: DataFrame, buckets: int = 1 << 13, negatives: int = 400, most_unk
     """doc_id, paragraph, family, probability, template, similarity, confirmed of each paragraph (line) that states a licence.
 
     The classifier is fitted on TEMPLATES, their parts, and the paragraphs of the first `negatives` documents by a hash of doc_id that share under 0.6 of the words of each; its probabilities are tempered on sentences and lines held back from a first fit, and a family
-    counts from the probability that all but most_unknown of the held-back negatives stay under (from one half to 0.9). The family's template with the largest Jaccard similarity of words confirms it, from least_similar, or from 0.9 of the template's words found.
+    counts from the probability that all but most_unknown of the held-back negatives stay under (from one half to 0.9). The family's template with the largest Jaccard similarity of words confirms it, from least_similar, or from 0.9 of the template's words found. Families that tie: the first of TEMPLATES; templates that tie: the last name.
     Null and empty texts and paragraphs without words give no row; repeated rows each give theirs; rows without a doc_id are scanned like any other; very long texts are read line by line, whole; an empty table gives an empty result.
     """
     model = Model(docs, buckets, negatives, most_unknown)
