@@ -179,9 +179,11 @@ def fixpoint(facts: DataFrame, rules: DataFrame, rounds: int = 10) -> DataFrame:
     return seen
 
 
-def proposals(near: DataFrame, edges: DataFrame, known: DataFrame, rejected: DataFrame, strength: dict[str, float], quality: Column, most: int = 10) -> DataFrame:
+def proposals(near: DataFrame, edges: DataFrame, known: DataFrame, rejected: DataFrame, strength: dict[str, float], quality: Column, most: int = 10, neighbors: int | None = None) -> DataFrame:
     """concept, p, o, confidence, place: relations that concepts may inherit from near(concept, other, similarity): the neighbours' edges(s, p, o), without what is known(concept, o), rejected(concept, p, o) or of the concept itself. similarity x predicate x quality of o x 0.55, the best of each."""
     told = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in strength.items() for x in pair]), F.col("p")), F.lit(0.65))
+    if neighbors:  # the most alike of each concept (ties: the least)
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("similarity"), "other"))).where(F.col("_n") <= neighbors).drop("_n")
     rows = near.join(edges.withColumnRenamed("s", "other"), "other").where("concept <> o").withColumn("confidence", F.col("similarity") * told * quality * 0.55)
     rows = rows.groupBy("concept", "p", "o").agg(F.max("confidence").alias("confidence")).join(known, ["concept", "o"], "left_anti").join(rejected, ["concept", "p", "o"], "left_anti")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("confidence"), "p", "o"))).where(F.col("place") <= most).select("concept", "p", "o", "confidence", "place")

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, packets, paths
+from ..operators import features, graph, packets, paths
 from ..sources import sinks
 from ..sources.storage import shared_path
-from ..sources.tables import first_by_key, table
-from .catalog import SQL, query
+from ..sources.tables import first_by_key, relations, table
+from .catalog import REL, SQL, query
 from .path_queries import ACTS
 from .search_queries import BOTH, both_ways
 
@@ -82,3 +82,18 @@ def snk13(spark, d):
     counts = table(spark, d, "part").groupBy(F.col("p_brand").alias("section"), F.col("p_type").alias("name")).agg(F.count("*").alias("n"))
     sinks.write_report(counts, path)
     return sinks.read_report(spark, path)
+
+
+@query("gr28_proposals_by_brand", f"""WITH {REL}, e AS (SELECT DISTINCT subject_id AS s, predicate AS p, object_id AS o FROM relations), held AS (SELECT DISTINCT p_brand AS brand, s, o FROM e JOIN part ON s = 'p' || p_partkey),
+  near AS (SELECT a.s AS concept, b.s AS other, count(*) / 30 AS similarity FROM held a JOIN held b ON a.brand = b.brand AND a.o = b.o AND a.s <> b.s GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.s ORDER BY count(*) DESC, b.s) <= 4),
+  x AS (SELECT concept, e.p, e.o, max(similarity * CASE e.p WHEN 'causes' THEN 0.9 :: DOUBLE WHEN 'requires' THEN 1.0 :: DOUBLE ELSE 0.65 :: DOUBLE END * 0.7 :: DOUBLE * 0.55 :: DOUBLE) AS confidence FROM near JOIN e ON e.s = other GROUP BY 1, 2, 3)
+  SELECT concept, p, o, confidence, row_number() OVER (PARTITION BY concept ORDER BY confidence DESC, p, o) AS place FROM x WHERE (concept, o) NOT IN (SELECT (s, o) FROM e) AND NOT (p = 'inhibits' AND o = 's1') QUALIFY place <= 10""", rounded="confidence")
+def gr28_brand(spark, d):
+    """What each part may inherit from the four parts of its brand with which it shares most suppliers."""
+    e = relations(spark, d).select(F.col("subject_id").alias("s"), F.col("predicate").alias("p"), F.col("object_id").alias("o")).distinct()
+    brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("s"), F.col("p_brand").alias("brand"))
+    held = e.select("s", "o").distinct().join(brands, "s")
+    near = held.withColumnRenamed("s", "concept").join(held.withColumnRenamed("s", "other"), ["brand", "o"]).where("concept <> other").groupBy("concept", "other").agg((F.count("*") / 30).alias("similarity"))
+    rejected = e.select(F.col("s").alias("concept"), F.lit("inhibits").alias("p"), F.lit("s1").alias("o")).distinct()
+    found = features.proposals(near, e, e.select(F.col("s").alias("concept"), "o").distinct(), rejected, {"causes": 0.9, "requires": 1.0}, F.lit(0.7), neighbors=4)
+    return found.withColumn("place", F.col("place").cast("long"))
