@@ -127,34 +127,56 @@ _LOADED: dict = {}
 class Encoder:
     """The ids of a text by the tokenizers library, which sees each piece between white space once.
 
-    The vocabulary's rules never cross ASCII white space, so a text's ids are those of its pieces in turn. At most `most` pieces are remembered.
+    The vocabulary's rules never cross ASCII white space, so a text's ids are those of its pieces in turn. New pieces are encoded many at a time, a special token between them, since what lies between
+    special tokens is encoded on its own. Some `most` pieces are remembered: when half as many are new, those not met since the last time are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_500_000, between: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.old, self.half, self.between = Tokenizer.from_file(path), {}, {}, most // 2, between
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.cut = self.tokenizer.token_to_id(between)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def add(self, pieces) -> None:
         """Learns pieces; of an ASCII word with a mark behind it, word and mark are learnt apart."""
-        if len(self.known) + len(pieces) > self.most:
-            self.known = {}
-        known, new, cut = self.known, [], []
+        known, old, new, cut = self.known, self.old, set(), []
         for p in pieces:
-            if len(p) > 2 and p[-1:] in b".,;:!?" and p[-2:-1].isalpha() and p.isascii():
+            if p in old:
+                known[p] = old[p]
+            elif len(p) > 2 and p[-1:] in b".,;:!?" and p[-2:-1].isalpha() and p.isascii():
                 cut.append(p)
-                new += [p[:-1], p[-1:]]
+                new.add(p[:-1])
+                new.add(p[-1:])
+            else:
+                new.add(p)
+        rest = []
+        for p in new:
+            if p in old:
+                known[p] = old[p]
+            elif p in known:
+                continue
+            elif self.cut is None or b"<|" in p:
+                known[p] = self._ids(p.decode()).tobytes()
             else:
-                new.append(p)
-        new = [p for p in set(new) if p not in known]
-        for i in range(0, len(new), 20_000):
-            for p, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast([p.decode() for p in new[i : i + 20_000]], add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.kind).tobytes()
+                rest.append(p)
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            ids = self._ids(self.between.encode().join(part).decode())
+            ends = [*np.flatnonzero(ids == self.cut).tolist(), len(ids)]
+            raw, wide, at = ids.tobytes(), ids.itemsize, 0
+            for p, end in zip(part, ends, strict=True):
+                known[p] = raw[at * wide : end * wide]
+                at = end + 1
         for p in cut:
             known[p] = known[p[:-1]] + known[p[-1:]]
 
     def encode(self, texts: list) -> list[np.ndarray]:
+        if len(self.known) > self.half:
+            self.known, self.old = {}, self.known
         raws = [(t or "").encode() for t in texts]
         raws = [(r if b"<|" in r else r.lower()).split() for r in raws]  # special tokens are spelt in one way only
         found = [list(map(self.known.get, r)) for r in raws]
