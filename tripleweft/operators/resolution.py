@@ -27,24 +27,31 @@ def grams(text: Column, size: int) -> Column:
 
 
 def containing(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """term, id, name of names(id, name) that hold each of terms(term), of two characters or more, which are distinct.
+    """term and the columns of names(name, ...) that hold each of terms(term), of two characters or more, which are distinct.
 
-    Joined by the term's rarest string of three characters (of two, if it has no more), not by comparing all with all.
+    Joined by the term's rarest string of three characters (of two, if it has no more), not by comparing all with all. Spark takes exploded rows to be as few as the names they come from and would broadcast them: they
+    are merged.
     """
-    own = names.select("id", "name", F.explode(F.concat(grams(F.col("name"), 3), grams(F.col("name"), 2))).alias("gram"))
-    often = own.groupBy("gram").agg(F.count("*").alias("_n"))
+    own = names.select(*names.columns, F.explode(F.concat(grams(F.col("name"), 3), grams(F.col("name"), 2))).alias("gram")).hint("merge")
     asked = terms.select("term", F.explode(F.when(F.length("term") > 2, grams(F.col("term"), 3)).otherwise(grams(F.col("term"), 2))).alias("gram"))
+    often = own.groupBy("gram").agg(F.count("*").alias("_n"))  # as many as there are different strings of two or three characters
     rarest = asked.join(often, "gram").groupBy("term").agg(F.min(F.struct("_n", "gram")).alias("x")).select("term", "x.gram")
-    return rarest.join(own, "gram").where(F.contains("name", "term")).select("term", "id", "name")
+    return rarest.join(own, "gram").where(F.contains("name", "term")).select("term", *names.columns)
 
 
 def lookup(tokens: DataFrame, anchors: DataFrame, limit: int = 8, few: int = 3) -> DataFrame:
-    """token, id, canonical, maturity, tier, place: the `limit` anchors of greatest maturity that start with a token (tier 0), and if these are fewer than `few`, after them those that hold it (tier 1)."""
-    names = anchors.select("id", F.lower("canonical").alias("name"))
-    found = containing(tokens.select(F.col("token").alias("term")).distinct(), names).withColumn("tier", F.when(F.startswith("name", "term"), 0).otherwise(1))
-    enough = found.groupBy("term").agg(F.count_if(F.col("tier") == 0).alias("_p"))
+    """token, id, canonical, maturity, tier, place: the `limit` anchors of greatest maturity that start with a token (tier 0), and if these are fewer than `few`, after them those that hold it (tier 1).
+
+    Of the anchors of one name only the best `limit` can be among a token's, so only these are joined.
+    """
+    named = anchors.select("id", "canonical", "maturity", F.lower("canonical").alias("name"))
+    sizes = named.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("_size"))
+    found = containing(tokens.select(F.col("token").alias("term")).distinct(), sizes.select("name")).withColumn("tier", F.when(F.startswith("name", "term"), 0).otherwise(1))
+    enough = found.where("tier = 0").join(sizes.hint("merge"), "name").groupBy("term").agg(F.sum("_size").alias("_p"))
+    own = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("maturity"), "id"))
+    best = named.withColumn("_own", own).where(F.col("_own") <= limit).drop("_own").hint("merge")
     rank = F.row_number().over(Window.partitionBy("term").orderBy("tier", F.desc("maturity"), "id"))
-    rows = found.join(enough, "term").where((F.col("tier") == 0) | (F.col("_p") < few)).join(anchors.select("id", "canonical", "maturity"), "id")
+    rows = found.join(enough, "term", "left").where((F.col("tier") == 0) | (F.coalesce("_p", F.lit(0)) < few)).join(best, "name")
     return rows.withColumn("place", rank).where(F.col("place") <= limit).select(F.col("term").alias("token"), "id", "canonical", "maturity", "tier", "place")
 
 
@@ -66,9 +73,10 @@ def candidates(text: Column, longest: int = 4) -> Column:
 def resolve(questions: DataFrame, anchors: DataFrame) -> DataFrame:
     """query_id, term, id, maturity of questions(query_id, text) that name an anchor: by the first candidate that is one, starts one or lies in one; of those, the anchor of greatest maturity (ties: least id)."""
     asked = questions.select("query_id", F.posexplode(candidates(F.col("text"))).alias("order", "term"))
-    names = anchors.select("id", F.lower("canonical").alias("name"))
+    first = F.min(F.struct((-F.col("maturity")).alias("m"), "id"))
+    names = anchors.where("canonical IS NOT NULL").groupBy(F.lower("canonical").alias("name")).agg(first.alias("own"))
     tier = F.when(F.col("name") == F.col("term"), 0).when(F.startswith("name", "term"), 1).otherwise(2)
-    best = containing(asked.select("term").distinct(), names).join(anchors.select("id", "maturity"), "id").groupBy("term").agg(F.min(F.struct(tier.alias("tier"), (-F.col("maturity")).alias("m"), "id")).alias("x"))
+    best = containing(asked.select("term").distinct(), names.select("name")).join(names.hint("merge"), "name").groupBy("term").agg(F.min(F.struct(tier.alias("tier"), "own.m", "own.id")).alias("x"))
     found = asked.join(best, "term").groupBy("query_id").agg(F.min(F.struct("order", "term", "x")).alias("y"))
     return found.select("query_id", "y.term", "y.x.id", (-F.col("y.x.m")).alias("maturity"))
 
@@ -109,7 +117,7 @@ def knowledge(problems: DataFrame, anchors: DataFrame, edges: DataFrame, noise:
     tokens = asked.select("query_id", F.posexplode(F.slice("_all", 1, most_tokens)).alias("at", "token"))
     # a prefix: joined by the anchors' own starts, one for each length that a token has
     lengths = F.array_distinct(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("canonical"))), lambda n: F.lower(F.substr("canonical", F.lit(1), n))))
-    starts = anchors.select("id", "canonical", "maturity", F.explode(lengths).alias("token"))
+    starts = anchors.select("id", "canonical", "maturity", F.explode(lengths).alias("token")).hint("merge")  # many rows a name, so not broadcast
     rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("maturity"), "id"))
     hits = tokens.select("token").distinct().join(starts, "token").withColumn("place", rank).where(F.col("place") <= per_token)
     own = tokens.join(hits, "token").groupBy("query_id", "id", "canonical", "maturity").agg(F.min(F.struct("at", "place")).alias("order"))
