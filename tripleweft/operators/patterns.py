@@ -34,7 +34,8 @@ class _Template:
 def bindings(pattern: list[tuple], edges: DataFrame, constraints: list[tuple] = ()) -> tuple[DataFrame, list[str]]:
     """(rows with a column for each variable and _c, _b for each template; the variables in order of the pattern) of all ways to bind the pattern in edges(subject_id, predicate, object_id, local_confidence, is_bridge).
 
-    One pass counts each template's edges. The rarest is where the search starts; then a variable at a time is bound. Templates whose variables are all bound are joined first, since they only drop rows. A variable
+    One pass counts each template's edges and, nearly, how many values each of its variables takes. The rarest is where the search starts; then a variable at a time is bound, first the one to which a row is led by the
+    fewest edges (a template's edges divided by the values of what is bound): pairs of all that lies under a frequent value come last. Templates whose variables are all bound are joined first, since they only drop rows. A variable
     that several templates lead to (it closes a cycle) is bound, in each row, from the one that offers the fewest edges there, and then tested against the others: so what lies between is never larger than the rarer
     side, row by row. Constraints (a variable, one of = != < <= > >=, a variable or a value; as text) are applied as soon as their variables are bound.
 
@@ -49,8 +50,11 @@ def bindings(pattern: list[tuple], edges: DataFrame, constraints: list[tuple] =
             raise ValueError(f"constraint {(a, test, b)} is of unknown kind or names a variable that the pattern lacks")
     fixed = [t for t in templates if not t.variables]
     open_ = [t for t in templates if t.variables]
-    counted = edges.agg(*[F.count_if(t.fulfilled()).alias(f"n{t.place}") for t in templates]).first()
+    taken = {(t, v): f"d{t.place}_{i}" for t in open_ for i, v in enumerate(t.variables)}
+    values = [F.approx_count_distinct(F.when(t.fulfilled(), t.variables[v])).alias(k) for (t, v), k in taken.items()]
+    counted = edges.agg(*[F.count_if(t.fulfilled()).alias(f"n{t.place}") for t in templates], *values).first()
     size = {t: counted[f"n{t.place}"] for t in templates}
+    led = lambda t, bound: size[t] / max(1, *[counted[taken[t, v]] for v in t.variables if v in bound])
     parts = {t: t.rows(edges) for t in templates}
     waiting = list(constraints)
 
@@ -83,7 +87,7 @@ def bindings(pattern: list[tuple], edges: DataFrame, constraints: list[tuple] =
                 ways.setdefault(tuple(fresh), []).append(t)
         if not ways:
             raise ValueError("the pattern falls apart: no template left shares a variable with those before")
-        fresh = min(ways, key=lambda k: (len(k), -len(ways[k]), min(size[t] for t in ways[k]), k))
+        fresh = min(ways, key=lambda k: (len(k), min(led(t, bound) for t in ways[k]), -len(ways[k]), min(size[t] for t in ways[k]), k))
         several = sorted(ways[fresh], key=lambda t: (size[t], t.place))
         for t in several:
             open_.remove(t)
