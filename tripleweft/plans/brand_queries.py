@@ -92,8 +92,8 @@ def gr28_brand(spark, d):
     """What each part may inherit from the four parts of its brand with which it shares most suppliers."""
     e = relations(spark, d).select(F.col("subject_id").alias("s"), F.col("predicate").alias("p"), F.col("object_id").alias("o")).distinct()
     brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("s"), F.col("p_brand").alias("brand"))
-    held = e.select("s", "o").distinct().join(brands, "s")
-    near = held.withColumnRenamed("s", "concept").join(held.withColumnRenamed("s", "other"), ["brand", "o"]).where("concept <> other").groupBy("concept", "other").agg((F.count("*") / 30).alias("similarity"))
+    near = features.most_shared(e.select("s", "o").distinct().join(brands, "s").select(F.col("brand").alias("area"), F.col("s").alias("concept"), "o"), 4)
+    near = near.select("concept", "other", (F.col("shared") / 30).alias("similarity"))
     rejected = e.select(F.col("s").alias("concept"), F.lit("inhibits").alias("p"), F.lit("s1").alias("o")).distinct()
     found = features.proposals(near, e, e.select(F.col("s").alias("concept"), "o").distinct(), rejected, {"causes": 0.9, "requires": 1.0}, F.lit(0.7), neighbors=4)
     return found.withColumn("place", F.col("place").cast("long"))
