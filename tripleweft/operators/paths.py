@@ -15,6 +15,7 @@ CAUSAL = {
 }
 PRIMARY = ["causes", "leads_to", "enables", "produces", "requires"]
 TRUST, DECAY, DEPTH, BEAM = 0.80, 0.30, 4, 6
+FEW_NODES = 100_000  # so many names of nodes may be broadcast (some 10 MB)
 # Goal and feasibility of predicates that name a step, those that name a risk, weights of a step's use.
 STEPS = {
     "requires": (0.8, 0.7), "enables": (0.9, 0.8), "depends_on": (0.7, 0.6), "produces": (0.85, 0.75), "blocks": (0.3, 0.2), "leads_to": (0.8, 0.7), "prevents": (0.4, 0.3), "next_step": (1.0, 0.9),
@@ -30,11 +31,14 @@ def _mapped(table: dict, key: Column, rest) -> Column:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seed, node, path (of nodes) of all that each of seeds(seed) reaches along edges(src, dst) in up to `depth` steps, breadth first: each node once, by the least of its shortest paths."""
-    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    steps = edges.select(F.col("src").alias("node"), "dst")  # an edge that comes twice changes no least path
     seen = keep(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
     front = seen
     for _ in range(depth):
-        found = front.join(steps, "node").select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
+        at = front.select("node").distinct()
+        few = at.limit(FEW_NODES + 1).count() <= FEW_NODES  # then edges that start elsewhere are dropped where they lie, before the shuffle
+        own = steps.join(F.broadcast(at), "node", "left_semi") if few else steps
+        found = front.join(own, "node").select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
         front = keep(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         if front.isEmpty():
             break
@@ -56,9 +60,10 @@ def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: i
     front = keep(seeds.select("seed", F.col("seed").alias("node"), F.array(F.col("seed").cast("string")).alias("path"), F.lit(1).alias("_pos")).distinct())
     visited, known, done = front.select("seed", "node"), None, []
     for hops in range(max_hops):
-        met = front.join(steps, "node").select("seed", "_pos", "_r", "path", "p", F.col("dst").alias("node")).join(visited, ["seed", "node"], "left_anti")
-        entered = met.groupBy("seed", "node").agg(F.min_by(F.struct("_pos", "_r", "path", "p"), F.struct("_pos", "_r")).alias("x")).select("seed", "node", "x.*")
-        entered = keep(entered)
+        # seeds that know enough look at no more nodes; paths stay with the queue until a child needs them
+        looking = front if known is None else front.join(known.where(F.col("_known") < max_nodes), "seed", "left_semi")
+        met = looking.select("seed", "node", "_pos").join(steps, "node").select("seed", "_pos", "_r", "p", F.col("dst").alias("node")).join(visited, ["seed", "node"], "left_anti")
+        entered = keep(met.groupBy("seed", "node").agg(F.min(F.struct("_pos", "_r", "p")).alias("x")).select("seed", "node", "x.*"))
         # how many nodes a seed knows before it looks at each node of the queue
         before = F.sum("_new").over(Window.partitionBy("seed").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
         queue = front.join(entered.groupBy("seed", "_pos").agg(F.count("*").alias("_new")), ["seed", "_pos"], "left").fillna(0, ["_new"])
@@ -68,7 +73,7 @@ def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: i
         if hops:
             done.append(queue.where(~F.col("_looked") | F.col("_has").isNull()).select("seed", "path", F.lit(hops).alias("hops"), "_pos"))
         known = queue.groupBy("seed").agg((F.max("_known") + F.sum(F.when(F.col("_looked"), F.col("_new")).otherwise(0))).alias("_known"))
-        children = entered.join(queue.where("_looked").select("seed", "_pos"), ["seed", "_pos"])
+        children = entered.join(queue.where("_looked").select("seed", "_pos", "path"), ["seed", "_pos"])
         place = F.row_number().over(Window.partitionBy("seed").orderBy("_pos", "_r"))
         front = keep(children.select("seed", "node", F.concat("path", F.array("p", F.col("node").cast("string"))).alias("path"), place.alias("_pos")))
         known = keep(known)
