@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from tripleweft.operators import features, paths, patterns
+from tripleweft.operators import features, packets, paths, patterns
 
 
 def test_reach_is_the_same_for_few_and_many_nodes(spark, monkeypatch):
@@ -48,3 +48,36 @@ def test_most_shared(spark):
     for block in (2000, 7):
         found = features.most_shared(rows, 4, block)
         assert {(r.concept, r.other, r.shared) for r in found.collect()} == want
+
+
+def test_packets_are_alike_by_query_and_by_joins(spark, monkeypatch):
+    """Queries of few edges are shuffled whole, others are joined after most edges are dropped; either way all are ranked, with ties, loops, a query among its nodes and weights of 0 and null."""
+    g = random.Random(7)
+    pick = lambda q: g.choice([f"n{g.randint(0, 25)}", f"n{g.randint(0, 25)}", q])
+    rows = {(q := f"q{g.choice((1, 1, 1, 2, 3))}", pick(q), g.choice("ab"), pick(q)): g.choice([0.0, 0.02, 0.1, 0.3, 0.9, None]) for _ in range(700)}
+    edges = spark.createDataFrame([(*k, w) for k, w in rows.items()] + [("q4", "n1", "a", "n2", 0.5)], "query_id string, s string, p string, o string, w double")
+    most, nodes, top = {}, {}, []
+    for (q, s, _, o), w in [*rows.items(), (("q4", "n1", "a", "n2"), 0.5)]:
+        for n, a in ((s, w), (o, None if w is None else 0.8 * w), (q, 1.0)):
+            if a is not None:
+                nodes[q, n] = max(nodes.get((q, n), a), a)
+    for q in {k[0] for k in nodes}:
+        most[q] = max(a for (k, _), a in nodes.items() if k == q)
+    for (q, s, p, o), w in [*rows.items(), (("q4", "n1", "a", "n2"), 0.5)]:
+        if w is not None and ((score := nodes[q, s] / most[q] * w * (nodes[q, o] / most[q])) >= 0.002 or w >= 0.3):
+            top.append((q, -score, s, p, o))
+    want_top = sorted(x for q in most for x in sorted(t for t in top if t[0] == q)[:60])
+    want_nodes = sorted((q, n) for q in most for _, n in sorted((-a, n) for (k, n), a in nodes.items() if k == q and a / most[q] >= 0.05)[:30])
+    for many in (10_000, 50, 0):
+        monkeypatch.setattr(packets, "MANY", many)
+        best, found = packets.ranked(edges)
+        assert sorted((r.query_id, r.node) for r in best.collect()) == want_nodes
+        assert sorted((r.query_id, -r.score, r.s, r.p, r.o) for r in found.collect()) == want_top
+
+
+def test_packets_shuffle_their_edges_once(spark):
+    """A query's edges are shuffled by query alone, and not joined by node."""
+    edges = spark.createDataFrame([(f"q{i // 3}", f"n{i % 7}", "a", f"n{i % 5}", 0.5) for i in range(60)], "query_id string, s string, p string, o string, w double")
+    best, found = packets.ranked(edges)
+    for df in (best, found):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

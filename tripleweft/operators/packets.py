@@ -1,15 +1,18 @@
 """Packets: the nodes and edges that count for each of many queries at once, and what is read off them.
 
-edges: query_id, s, p, o, w (0 to 1). Ranks are cut at a fixed k, which Spark applies before the shuffle too, so a query with very many edges isn't gathered.
+edges: query_id, s, p, o, w (0 to 1). Queries of few edges are shuffled once; of others, ranks are cut at a fixed k, which Spark applies before the shuffle too, so a query with very many edges isn't gathered.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import noisy_or
+from ..sources.storage import keep
 
 # Bounds of a packet, weights of the confidence, slots of a definition with the weight of each predicate.
 NODE_FLOOR, TOP_NODES, EDGE_FLOOR, SURE, TOP_EDGES, DECAY, TRUST = 0.05, 30, 0.002, 0.3, 60, 0.8, 0.7
+MANY = 10_000  # so many edges of a query may meet in one task
+PER_TASK = 100_000  # edges of small queries that a task ranks, whatever the size of the table
 EVIDENCE, COVERAGE, COHERENCE, TRUST_MEAN, CONTRADICTION, EXTRAPOLATION, MISSING = 0.25, 0.20, 0.20, 0.15, 0.10, 0.05, 0.05
 SLOTS = {
     "genus": {"is_a": 1.0, "type_of": 0.9, "subtype_of": 0.85, "instance_of": 0.8, "classified_as": 0.75},
@@ -23,38 +26,85 @@ def _best(df: DataFrame, k: int, group: list, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k)
 
 
-def activations(edges: DataFrame) -> DataFrame:
-    """query_id, node, a: subjects take their greatest weight, objects 0.8 of it, the query itself 1; divided by the query's greatest."""
-    seen = edges.select("query_id", F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("w").alias("a")), F.struct(F.col("o").alias("node"), (DECAY * F.col("w")).alias("a")), F.struct(F.col("query_id").alias("node"), F.lit(1.0).alias("a")))).alias("x"))
-    nodes = seen.groupBy("query_id", "x.node").agg(F.max("x.a").alias("a"))
-    return nodes.join(nodes.groupBy("query_id").agg(F.max("a").alias("most")), "query_id").select("query_id", "node", (F.col("a") / F.col("most")).alias("a"))
+def _small(edges: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of queries of at most MANY edges: shuffled once, by query; windows and groups of a query's nodes and edges need no other shuffle."""
+    end = lambda side, node, a: F.struct(F.lit(side).alias("side"), F.col(node).alias("node"), a.alias("a"))
+    ends = F.inline(F.array(end(0, "s", F.col("w")), end(1, "o", DECAY * F.col("w")), end(2, "query_id", F.lit(1.0))))
+    rows = edges.select("query_id", "s", "p", "o", "w").repartition(tasks, "query_id").select("query_id", "s", "p", "o", "w", ends)
+    whole = Window.partitionBy("query_id")
+    nodes = rows.groupBy("query_id", "node").agg(F.max("a").alias("a")).withColumn("a", F.col("a") / F.max("a").over(whole))
+    act = F.max("a").over(Window.partitionBy("query_id", "node")) / F.max("a").over(whole)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("act")))
+    top = rows.withColumn("act", act).where("side < 2 AND query_id IS NOT NULL AND s IS NOT NULL AND o IS NOT NULL").groupBy("query_id", "s", "p", "o", "w").agg(of(0).alias("a_s"), of(1).alias("a_o"))
+    top = top.withColumn("score", F.col("a_s") * F.col("w") * F.col("a_o")).where((F.col("score") >= EDGE_FLOOR) | (F.col("w") >= SURE))
+    top = _best(top.select("query_id", "s", "o", "p", "w", "a_s", "a_o", "score"), TOP_EDGES, ["query_id"], F.desc("score"), "s", "p", "o")
+    return _best(nodes.where(F.col("a") >= NODE_FLOOR), TOP_NODES, ["query_id"], F.desc("a"), "node"), top
+
+
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of queries of more than MANY edges, of which none is gathered.
+
+    An edge's score lies between those that its own weight alone and the query's greatest activation would give its ends, so an edge whose upper bound is below the TOP_EDGES-th greatest lower bound isn't joined with its ends.
+    """
+    edges = keep(edges)
+    own = edges.groupBy("query_id").agg(F.max("w").alias("peak"))
+    own = keep(own.withColumn("most", F.greatest("peak", F.lit(1.0))))  # at most a row for each MANY edges
+    known = edges.where("w >= 0").join(F.broadcast(own), "query_id")
+    low = known.withColumn("low", F.col("w") / F.col("most") * F.col("w") * (DECAY * F.col("w") / F.col("most"))).where((F.col("low") >= EDGE_FLOOR) | (F.col("w") >= SURE))
+    least = _best(low.select("query_id", "low"), TOP_EDGES, ["query_id"], F.desc("low")).groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("_k")).where(F.col("_k") == TOP_EDGES)
+    bound = keep(own.join(least.select("query_id", "least"), "query_id", "left"))
+    end = lambda c: F.when(F.col(c) == F.col("query_id"), F.greatest("peak", F.lit(1.0))).otherwise(F.col("peak")) / F.col("most")
+    high = end("s") * F.col("w") * end("o")
+    rows = edges.join(F.broadcast(bound), "query_id").where(F.col("least").isNull() | F.col("w").isNull() | (F.col("w") < 0) | (high >= F.col("least"))).select(*edges.columns)
+    seen = edges.select("query_id", F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("w").alias("a")), F.struct(F.col("o").alias("node"), (DECAY * F.col("w")).alias("a")))).alias("x")).select("query_id", "x.node", "x.a")
+    act = seen.unionByName(own.select("query_id", F.col("query_id").alias("node"), F.lit(1.0).alias("a"))).groupBy("query_id", "node").agg(F.max("a").alias("a"))
+    act = keep(act.join(F.broadcast(own.select(F.col("query_id").alias("_q"), "most")), F.col("query_id").eqNullSafe(F.col("_q"))).select("query_id", "node", (F.col("a") / F.col("most")).alias("a")))
+    nodes = keep(_best(act.where(F.col("a") >= NODE_FLOOR), TOP_NODES, ["query_id"], F.desc("a"), "node"))
+    rows = rows.join(act.select("query_id", F.col("node").alias("s"), F.col("a").alias("a_s")), ["query_id", "s"])
+    rows = rows.join(act.select("query_id", F.col("node").alias("o"), F.col("a").alias("a_o")), ["query_id", "o"])
+    rows = rows.withColumn("score", F.col("a_s") * F.col("w") * F.col("a_o")).where((F.col("score") >= EDGE_FLOOR) | (F.col("w") >= SURE))
+    return nodes, keep(_best(rows.select("query_id", "s", "o", "p", "w", "a_s", "a_o", "score"), TOP_EDGES, ["query_id"], F.desc("score"), "s", "p", "o"))
+
+
+def ranked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(top_nodes, top_edges) of edges, for functions that need both: queries are counted once, small ones are shuffled whole, large ones go by joins."""
+    sizes = edges.groupBy("query_id").agg(F.count("*").alias("_n"))
+    least, most, total = sizes.agg(F.min("_n"), F.max("_n"), F.sum("_n")).first()
+    tasks = (total or 0) // PER_TASK + 1
+    if most is None or most <= MANY:
+        return _small(edges, tasks)
+    if least > MANY:
+        return _large(edges)
+    large = keep(sizes.where(F.col("_n") > MANY).select(F.col("query_id").alias("_q")))
+    same = F.col("query_id").eqNullSafe(F.col("_q"))
+    of = [_small(edges.join(F.broadcast(large), same, "left_anti"), tasks), _large(edges.join(F.broadcast(large), same, "left_semi"))]
+    return tuple(a.unionByName(b) for a, b in zip(*of))
 
 
 def top_nodes(edges: DataFrame) -> DataFrame:
-    return _best(activations(edges).where(F.col("a") >= NODE_FLOOR), TOP_NODES, ["query_id"], F.desc("a"), "node")
+    """query_id, node, a, place of each query's best nodes: subjects take their greatest weight, objects 0.8 of it, the query itself 1; divided by the query's greatest."""
+    return ranked(edges)[0]
 
 
 def top_edges(edges: DataFrame) -> DataFrame:
     """Edges with a_s, a_o, score (a_s w a_o) and place, the best first."""
-    act = activations(edges)
-    rows = edges.join(act.select("query_id", F.col("node").alias("s"), F.col("a").alias("a_s")), ["query_id", "s"])
-    rows = rows.join(act.select("query_id", F.col("node").alias("o"), F.col("a").alias("a_o")), ["query_id", "o"])
-    rows = rows.withColumn("score", F.col("a_s") * F.col("w") * F.col("a_o")).where((F.col("score") >= EDGE_FLOOR) | (F.col("w") >= SURE))
-    return _best(rows, TOP_EDGES, ["query_id"], F.desc("score"), "s", "p", "o")
+    return ranked(edges)[1]
 
 
-def packets(edges: DataFrame) -> DataFrame:
-    """query_id, n_nodes, n_edges, confidence: 0.7 of the five best nodes' mean and 0.3 of the edges' share of twenty."""
-    nodes = top_nodes(edges).groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.avg(F.when(F.col("place") <= 5, F.col("a"))).alias("best"))
-    counted = top_edges(edges).groupBy("query_id").agg(F.count("*").alias("n_edges"))
+def packets(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
+    """query_id, n_nodes, n_edges, confidence: 0.7 of the five best nodes' mean and 0.3 of the edges' share of twenty. parts: what `ranked` says of the edges, if that is known."""
+    best, top = parts or ranked(edges)
+    nodes = best.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.avg(F.when(F.col("place") <= 5, F.col("a"))).alias("best"))
+    counted = top.groupBy("query_id").agg(F.count("*").alias("n_edges"))
     n = F.coalesce("n_edges", F.lit(0))
     return nodes.join(counted, "query_id", "left").select("query_id", "n_nodes", n.alias("n_edges"), F.round(0.7 * F.col("best") + 0.3 * F.least(n / 20, F.lit(1.0)), 3).alias("confidence"))
 
 
-def definitions(edges: DataFrame) -> DataFrame:
+def definitions(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
     """query_id, genus, functions (three at most), completeness, confidence: the best edge of each slot, its subject's activation times the predicate's weight times its own."""
+    parts = parts or ranked(edges)
     table = F.create_map(*[F.lit(x) for slot, own in SLOTS.items() for p, weight in own.items() for x in (p, f"{slot} {weight}")])
-    rows = top_edges(edges).withColumn("slot", F.try_element_at(table, F.col("p"))).where("slot IS NOT NULL")
+    rows = parts[1].withColumn("slot", F.try_element_at(table, F.col("p"))).where("slot IS NOT NULL")
     rows = rows.select("query_id", F.split("slot", " ")[0].alias("slot"), "o", (F.col("a_s") * F.split("slot", " ")[1].cast("double") * F.col("w")).alias("hit"))
     rows = _best(rows, 3, ["query_id", "slot"], F.desc("hit"), "o")
     first = F.col("place") == 1
@@ -63,15 +113,14 @@ def definitions(edges: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") == "function", F.struct("place", "o")))), lambda x: x["o"]), ",").alias("functions"),
         (F.count_if(first) / len(SLOTS)).alias("completeness"), F.avg(F.when(first & (F.col("hit") > 0), F.col("hit"))).alias("mean"))
     rest = 0.5 * F.col("p.confidence")
-    return packets(edges).alias("p").join(found.alias("f"), "query_id", "left").select(
+    return packets(edges, parts).alias("p").join(found.alias("f"), "query_id", "left").select(
         "query_id", "genus", F.coalesce("functions", F.lit("")).alias("functions"), F.coalesce("completeness", F.lit(0.0)).alias("completeness"), F.round(F.when(F.col("mean").isNull(), rest).otherwise(F.least("mean", F.lit(1.0))), 9).alias("confidence"))
 
 
-def confidence(edges: DataFrame, contradicting: list[str]) -> DataFrame:
+def confidence(edges: DataFrame, contradicting: list[str], parts: tuple | None = None) -> DataFrame:
     """query_id, confidence: a sigmoid of weighted evidence (noisy or over the best twenty edges), coverage, coherence, trust, contradiction and gaps; no paths are followed, so extrapolation is 0."""
-    nodes = top_nodes(edges)
+    nodes, e = parts or ranked(edges)
     near = nodes.where("place <= 15").select("query_id", "node")
-    e = top_edges(edges)
     e = e.join(near.select("query_id", F.col("node").alias("s"), F.lit(1).alias("_s")), ["query_id", "s"], "left").join(near.select("query_id", F.col("node").alias("o"), F.lit(1).alias("_o")), ["query_id", "o"], "left")
     pair = F.when((F.col("place") <= 30) & F.col("_s").isNotNull() & F.col("_o").isNotNull(), F.col("a_s") * F.col("a_o"))
     sums = e.groupBy("query_id").agg(

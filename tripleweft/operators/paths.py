@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import keep
-from .packets import packets, top_edges, top_nodes
+from .packets import packets, ranked
 
 # Weight of causal predicates, trust, decay by length, bounds of the search.
 CAUSAL = {
@@ -143,21 +143,22 @@ def _most_active(nodes: DataFrame, ends: DataFrame) -> DataFrame:
 
 def explain(edges: DataFrame) -> DataFrame:
     """query_id, seed, n_paths, completeness, confidence, narrative: causal paths from each query's most activated cause. edges: query_id, s, p, o, w. Queries without a causal edge are left out."""
-    causal = keep(top_edges(edges).where(F.col("p").isin(*CAUSAL)))
-    seeds = _most_active(top_nodes(edges), causal.select("query_id", F.col("s").alias("node")))
-    return _account(beam(causal, seeds), packets(edges)).join(seeds.withColumnRenamed("node", "seed"), "query_id")
+    parts = tuple(keep(x) for x in ranked(edges))
+    causal = keep(parts[1].where(F.col("p").isin(*CAUSAL)))
+    seeds = _most_active(parts[0], causal.select("query_id", F.col("s").alias("node")))
+    return _account(beam(causal, seeds), packets(edges, parts)).join(seeds.withColumnRenamed("node", "seed"), "query_id")
 
 
 def trace_cause(edges: DataFrame, most: int = 5) -> DataFrame:
     """query_id, effect, n_paths, completeness, confidence, chain (from the root to the effect), roots: causal paths back from each query's most activated effect; roots are causes that nothing causes (else the chain's start), most activated first."""
-    causal = keep(top_edges(edges).where(F.col("p").isin(*CAUSAL)))
-    nodes = top_nodes(edges)
+    nodes, top = tuple(keep(x) for x in ranked(edges))
+    causal = keep(top.where(F.col("p").isin(*CAUSAL)))
     effects = keep(_most_active(nodes, causal.select("query_id", F.col("o").alias("node"))))
     paths = keep(beam(causal, effects, backward=True))
     up = paths.select("query_id", F.explode("path").alias("e")).select("query_id", F.col("e.s").alias("node")).distinct()
     roots = up.join(causal.select("query_id", F.col("o").alias("node")).distinct(), ["query_id", "node"], "left_anti").join(nodes.select("query_id", "node", "a"), ["query_id", "node"], "left")
     listed = roots.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("a", F.lit(0.0))).alias("a"), "node"))), lambda x: x["node"]), 1, most).alias("roots"))  # a packet has 60 edges
-    out = _account(paths, packets(edges)).join(effects.withColumnRenamed("node", "effect"), "query_id").join(listed, "query_id", "left")
+    out = _account(paths, packets(edges, (nodes, top))).join(effects.withColumnRenamed("node", "effect"), "query_id").join(listed, "query_id", "left")
     chain = F.reverse("narrative")
     return out.select("query_id", "effect", "n_paths", "completeness", "confidence", chain.alias("chain"), F.coalesce("roots", F.slice(chain, 1, 1)).alias("roots"))
 
@@ -181,8 +182,8 @@ def plan_next(edges: DataFrame, most: int = 8) -> DataFrame:
 
     edges: query_id, s, p, o, w. Queries without such an edge are left out.
     """
-    e = keep(top_edges(edges))
-    whole = packets(edges).select("query_id", F.col("confidence").alias("_c"))
+    nodes, e = tuple(keep(x) for x in ranked(edges))
+    whole = packets(edges, (nodes, e)).select("query_id", F.col("confidence").alias("_c"))
     first = e.where(F.col("p").isin(*STEPS)).withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "o").orderBy("place"))).where("_n = 1").join(whole, "query_id")
     goal, feasible = _mapped({k: v[0] for k, v in STEPS.items()}, F.col("p"), 0.5), _mapped({k: v[1] for k, v in STEPS.items()}, F.col("p"), 0.5)
     asked, done = F.array_distinct(F.split(F.lower("query_id"), "\\s+")), F.array_distinct(F.split(F.lower("o"), "\\s+"))
@@ -195,8 +196,8 @@ def plan_next(edges: DataFrame, most: int = 8) -> DataFrame:
     more = e.where(F.col("p").isin(*STEPS)).join(actions.select("query_id", F.col("action").alias("o")), ["query_id", "o"], "left_anti").select("query_id", F.col("s").alias("action"), "o", "w", "p", "place")
     after = best.join(more, ["query_id", "action"]).withColumn("_m", F.row_number().over(Window.partitionBy("query_id", "action").orderBy("place"))).where("_m <= 2")
     after = after.select("query_id", F.concat_ws(" → ", "action", "o").alias("action"), (F.col("utility") * LATER * feasible * F.col("w")).alias("utility"), F.lit(2).alias("depth"))
-    ranked = actions.unionByName(after).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("utility"), "action"))).where(F.col("_n") <= most)
+    best = actions.unionByName(after).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("utility"), "action"))).where(F.col("_n") <= most)
     listed = F.array_sort(F.collect_list(F.struct("_n", "action", "utility")))
-    out = ranked.groupBy("query_id").agg(listed.alias("x"), F.sum(F.pow(F.lit(LATER), F.col("depth")) * F.col("utility")).alias("plan")).join(whole, "query_id")
+    out = best.groupBy("query_id").agg(listed.alias("x"), F.sum(F.pow(F.lit(LATER), F.col("depth")) * F.col("utility")).alias("plan")).join(whole, "query_id")
     plan = F.least("plan", F.lit(1.0))
     return out.select("query_id", F.transform("x", lambda x: x["action"]).alias("actions"), F.transform("x", lambda x: x["utility"]).alias("utilities"), plan.alias("plan_score"), (0.6 * F.col("_c") + 0.4 * plan).alias("confidence"))

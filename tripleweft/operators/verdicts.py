@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import noisy_or
-from .packets import TRUST, packets, top_edges, top_nodes
+from .packets import TRUST, packets, ranked, top_edges
 
 # Predicates that speak against or for a claim, and the scores beyond which they settle it.
 AGAINST = ["contradicts", "negates", "incompatible_with", "refutes", "conflicts_with", "disproven_by", "opposes", "falsifies"]
@@ -39,13 +39,14 @@ def contradictions(edges: DataFrame, against: list[str] = AGAINST, supporting: l
     return found.select("query_id", status.alias("status"), "against", "support", sure.alias("confidence"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
-def gaps(edges: DataFrame) -> DataFrame:
+def gaps(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
     """query_id, item, required_by, p, gap, place, n_required, mean_gap: one row for each needed item, by its best edge; place is set for those that are gaps, null for the rest."""
     weights = F.create_map(*[F.lit(x) for pair in NEEDS.items() for x in pair])
     one = Window.partitionBy("query_id", "o")
     whole = Window.partitionBy("query_id")
-    needs = top_edges(edges).where(F.col("p").isin(*NEEDS)).withColumns({"fans": F.count("*").over(one), "first": F.row_number().over(one.orderBy("place"))}).where("first = 1")
-    held = top_nodes(edges).select("query_id", F.col("node").alias("o"), F.col("a").alias("held"))
+    nodes, top = parts or ranked(edges)
+    needs = top.where(F.col("p").isin(*NEEDS)).withColumns({"fans": F.count("*").over(one), "first": F.row_number().over(one.orderBy("place"))}).where("first = 1")
+    held = nodes.select("query_id", F.col("node").alias("o"), F.col("a").alias("held"))
     score = F.col("w") * F.try_element_at(weights, F.col("p")) * NEED_TRUST * (F.col("fans") / F.max("fans").over(whole)) * (1 - F.coalesce("held", F.lit(0.0)))
     rows = needs.join(held, ["query_id", "o"], "left").withColumn("gap", F.round(score, 4))
     rank = F.row_number().over(whole.orderBy(F.desc("gap"), F.col("place").asc()))
@@ -58,12 +59,13 @@ def coverage(edges: DataFrame) -> DataFrame:
 
     Gaps have four places and a packet's confidence three, so sums are kept as whole numbers and divided once.
     """
-    sums = gaps(edges).groupBy("query_id").agg(
+    parts = ranked(edges)
+    sums = gaps(edges, parts).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "item")))), lambda x: x["item"]).alias("missing"),
         (F.count("*") - F.count("place")).alias("held"), F.count("*").alias("n"), F.sum(F.round(F.col("gap") * 10000).cast("long")).alias("total"))
     own, n = F.round(F.col("p.confidence") * 1000).cast("long"), F.col("n")
     sure = F.when(n.isNull(), own * 4 / 10000).otherwise(F.least((own * 10 * n + F.col("total") + 3000 * n) / (20000 * n), F.lit(0.95)))
-    return packets(edges).alias("p").join(sums, "query_id", "left").select("query_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce(F.col("held") / n, F.lit(1.0)).alias("coverage"), sure.alias("confidence"))
+    return packets(edges, parts).alias("p").join(sums, "query_id", "left").select("query_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce(F.col("held") / n, F.lit(1.0)).alias("coverage"), sure.alias("confidence"))
 
 
 def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:

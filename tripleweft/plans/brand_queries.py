@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, graph, packets, paths
 from ..sources import sinks
-from ..sources.storage import shared_path
+from ..sources.storage import keep, shared_path
 from ..sources.tables import first_by_key, relations, table
 from .catalog import REL, SQL, query
 from .path_queries import ACTS
@@ -15,13 +15,15 @@ OWN_ACTS = f"""{BOTH}, e AS (SELECT p_brand AS query_id, src AS s, CASE seen % 4
 
 
 def own_acts(spark, d):
-    """query_id, s, p, o, w: the edges between a brand's parts and their suppliers, both ways."""
-    brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("_part"), F.col("p_brand").alias("query_id"))
-    e = both_ways(spark, d).withColumn("_part", F.when(F.col("src").startswith("p"), F.col("src")).otherwise(F.col("dst"))).join(brands, "_part")
+    """query_id, s, p, o, w: the edges between a brand's parts and their suppliers, both ways; counted one way, mirrored and kept, since all that follows reads them several times."""
+    brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("part"), F.col("p_brand").alias("query_id")).distinct()
+    own = relations(spark, d).groupBy(F.col("subject_id").alias("part"), "predicate", F.col("object_id").alias("supplier")).agg(F.sum(F.coalesce("seen_count", F.lit(1))).alias("seen"))
     k = F.col("seen") % 4
     p = F.when(k == 0, "causes").when(k == 1, "enables").when(k == 2, "is_a").otherwise("requires")
-    e = e.groupBy("query_id", F.col("src").alias("s"), p.alias("p"), F.col("dst").alias("o")).agg(F.max("seen").alias("n"))
-    return e.select("query_id", "s", "p", "o", (F.col("n") / (F.col("n") + 40.0)).alias("w"))
+    e = own.groupBy("part", p.alias("p"), "supplier").agg(F.max("seen").alias("n")).join(brands, "part")
+    ends = lambda s, o: F.struct(F.col(s).alias("s"), F.col(o).alias("o"))
+    e = e.withColumn("x", F.explode(F.array(ends("part", "supplier"), ends("supplier", "part"))))
+    return keep(e.select("query_id", "x.s", "p", "x.o", (F.col("n") / (F.col("n") + 40.0)).alias("w")))
 
 
 @query("cg02_explanations_by_brand", SQL["cg02_explanations"].replace(ACTS, OWN_ACTS), rounded="confidence")
@@ -37,8 +39,9 @@ def cg03_brand(spark, d):
 @query("gr24_top_paths_by_brand", SQL["gr24_top_paths"].replace(ACTS, OWN_ACTS), rounded="log_score")
 def gr24_brand(spark, d):
     e = own_acts(spark, d)
-    seeds = packets.top_nodes(e).where("place <= 3").select("query_id", "node", "a")
-    found = paths.top_paths(packets.top_edges(e), seeds, 0.2, ["causes", "enables", "requires"], ["is_a"], depth=2)
+    nodes, top = packets.ranked(e)
+    seeds = nodes.where("place <= 3").select("query_id", "node", "a")
+    found = paths.top_paths(top, seeds, 0.2, ["causes", "enables", "requires"], ["is_a"], depth=2)
     return found.withColumn("nodes", F.array_join("nodes", " ")).withColumn("place", F.col("place").cast("long"))
 
 

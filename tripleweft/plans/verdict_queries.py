@@ -78,5 +78,6 @@ def responses(definitions, assessed, last):
 def cg11(spark, d):
     """The quality of definitions as responses, by the confidence blended from theirs and the packet's (CG-12)."""
     e = packet_edges(spark, d)
-    rows = responses(packets.definitions(e), packets.confidence(e, ["used_for"]), F.right(F.col("query_id"), F.lit(1)))
+    parts = packets.ranked(e)
+    rows = responses(packets.definitions(e, parts), packets.confidence(e, ["used_for"], parts), F.right(F.col("query_id"), F.lit(1)))
     return rows.select("query_id", F.round("confidence", 6).alias("confidence"), F.round("quality", 6).alias("quality"))
