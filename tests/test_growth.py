@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from tripleweft.operators import features, packets, paths, patterns
+from tripleweft.operators import features, packets, paths, patterns, wavefront
 
 
 def test_reach_is_the_same_for_few_and_many_nodes(spark, monkeypatch):
@@ -81,3 +81,19 @@ def test_packets_shuffle_their_edges_once(spark):
     best, found = packets.ranked(edges)
     for df in (best, found):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_wavefronts_list_the_neighbors_of_their_nodes_only(spark, monkeypatch):
+    """A level looks up the nodes it goes on from; what lies beyond the last level is not listed."""
+    kept = []
+    own = wavefront.keep
+    monkeypatch.setattr(wavefront, "keep", lambda df: kept.append(own(df)) or kept[-1])
+    edges = spark.createDataFrame([(f"n{i}", "causes", f"n{i + 1}", "causal", "") for i in range(20)], "subject_id string, predicate string, object_id string, edge_type string, domain_tags string")
+    anchors = spark.createDataFrame([(f"n{i}", f"name {i}", 1e9, 0, "wikidata", None) for i in range(21)], "id string, canonical string, maturity double, attractor long, object_domain string, sem_domain string")
+    queries = spark.createDataFrame([("q", "n0", "name 0")], "query_id string, id string, text string")
+    found = {(r.s, r.o) for r in wavefront.infer(queries, edges, anchors, levels=3).collect()}
+    assert found == {(f"name {i}", f"name {i + 1}") for i in range(3)}
+    listed = {r.node for df in kept if "rank" in df.columns for r in df.select("node").collect()}
+    assert listed == {"n0", "n1", "n2"}
+    monkeypatch.setattr(wavefront, "FEW_NODES", 0)
+    assert found == {(r.s, r.o) for r in wavefront.infer(queries, edges, anchors, levels=3).collect()}
