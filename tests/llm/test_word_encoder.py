@@ -16,3 +16,21 @@ def test_pieces(most):
     for i in range(0, len(texts), 20):
         got = [x.tolist() for x in coder.encode(texts[i : i + 20])]
         assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 20]]
+
+
+def test_words_of_letters_need_no_special_tokens(monkeypatch):
+    """Pieces of letters are encoded between spaces; one that lower-cases to two words takes the plainer way."""
+    plain, coder, seen = Tokenizer.from_file(queries.VOCABULARY), wavelet.Encoder(queries.VOCABULARY), []
+    ids = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda text: seen.append(text) or ids(text))
+    text = "every größe was niño über. été!"
+    assert coder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not any(coder.between in x and any(c.isalpha() for c in x.replace(coder.between, "")) for x in seen)
+    for text in ["İstanbul word", "ǅ ʼn ß ﬁ Ⅷ x", "a\u0301 e\u0301 \u0345", "日本語 한국어 ไทย ไม่"]:
+        assert coder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_planes_of_wide_and_narrow_ids():
+    for top in (1, 2, 255, 49_408, 70_000, 1 << 20):
+        ids = np.random.default_rng(top).integers(0, top, 5000).astype(np.uint32)
+        assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes()).decode().tolist() == ids.tolist()
