@@ -1,7 +1,7 @@
 """The pipeline's near-duplicates: SimHash over five-word shingles, linked where the sets of shingles have a Jaccard similarity of 0.8 or more.
 
-A vantage-point tree alone can't serve here: texts at 0.8 differ in 9.7 of 64 bits on average, and at a reach that finds them (REACH) the triangle bounds prune nothing, since random fingerprints lie 32 bits apart, give or take 4. So candidates meet
-in min-hash bands; fingerprints (those of the SimHash operator, over five words) drop candidates beyond REACH bits, and the exact similarity decides.
+Fingerprints (those of the SimHash operator, over five words) in its vantage-point tree propose what lies within NEAR bits, and the exact similarity decides. The tree alone can't find all: texts at 0.8 differ in 9.7 of 64 bits on average, and at a reach that finds them (REACH) the
+triangle bounds prune nothing, since random fingerprints lie 32 bits apart, give or take 4. So what the tree's links leave apart also meets in min-hash bands; fingerprints drop candidates beyond REACH bits, and the exact similarity decides again.
 """
 
 import numpy as np
@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, components, join_counted, keep
-from .simhash import chosen, forest
+from .simhash import chosen, forest, links
 
 #: 16 bands of 3 min-hashes: a pair at similarity s meets in a band with probability 1 - (1 - s ** 3) ** 16, at 0.8 with 0.99999.
 BANDS, ROWS = 16, 3
+#: Bits within which the tree looks for fingerprints.
+NEAR = 2
 #: Bits in which fingerprints at similarity 0.8 may differ: 9.7 on average, give or take 2.9, so beyond 24 with probability 0.000001.
 REACH = 24
 MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -99,7 +101,7 @@ def blocks(apart: DataFrame, small: int, part: int) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = 5, small: int = 24, part: int = 1000, rounds: int = 8) -> DataFrame:
     """The rows of docs, one document of each group of near copies: that of the least doc_id. Rows without a doc_id stay; rows of one doc_id count as one document.
 
-    Distinct sets of shingles that share a band are candidates, and two are linked if their exact similarity is 0.8 or more. In each band's group all are held against
+    Two distinct sets of shingles are linked if their exact similarity is 0.8 or more. Candidates are, first, those whose fingerprints the vantage-point tree joins; then, of those that share a band, what is still apart. In each band's group all are held against
     three centres. Where those links leave some apart, small groups are compared pair by pair. In groups of more than `small`, while more than `part` sets are apart from the group's largest component, more centres, three a round, are drawn from
     these and held against the whole group (up to `rounds` rounds, as long as each joins a fifth of what is left). What is then still apart is compared with all of its group inside tasks, in blocks of two parts of about `part` sets (and 4,000 times as many hashes) at most, of which only a tree of links comes out: n + n * k / part rows for k
     of n sets apart, where k is at most `part`. Nothing is capped. Null and empty texts are alike; very long texts are read whole.
@@ -112,8 +114,12 @@ def deduplicated(docs: DataFrame, width: int = 5, small: int = 24, part: int = 1
     like_sized = F.expr(f"5 * least(n, m) >= 4 * greatest(n, m) AND bit_count(fp ^ _fp) <= {REACH}")
     pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
 
-    tried = keep(members.select("sid", "n", "fp", F.inline("centres")).where("sid <> other").where(like_sized).select(*pair).distinct())
-    wanted = members.select("sid").distinct()
+    # by the tree: each fingerprint's least set with that of its group's root, and the other sets of a fingerprint with its least
+    prints = keep(nodes.groupBy("fp").agg(F.min("sid").alias("rep"), F.count("*").alias("_sets")))
+    alike = join_counted(nodes.select("fp", "sid"), prints.where("_sets > 1"), ["fp"], "_sets").select("sid", F.col("rep").alias("other"))
+    near = keep(links(prints.select("fp", "rep"), NEAR).toDF("sid", "other").union(alike).where("sid <> other").select(*pair).distinct())
+
+    wanted = members.select("sid").union(near.select("a")).union(near.select("b")).distinct()
     reps = nodes.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     hashes = keep(_sets(docs.join(reps, "doc_id", "left_semi"), "hashes array<long>", width).join(wanted, "sid", "left_semi").select("sid", "hashes").dropDuplicates(["sid"]))
 
@@ -126,7 +132,13 @@ def deduplicated(docs: DataFrame, width: int = 5, small: int = 24, part: int = 1
         found = components(edges).withColumnsRenamed({"node": "_n", "component": "_c"})
         return df.join(found, F.col("sid") == F.col("_n"), "left").withColumn("label", F.coalesce("_c", "sid")).drop("_n", "_c")
 
-    edges = keep(linked(tried))
+    tree = keep(linked(near))
+    known = keep(components(tree))
+    root = lambda k: known.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))
+    met = members.select("sid", "n", "fp", F.inline("centres")).where("sid <> other").where(like_sized).select(*pair).distinct().join(near, ["a", "b"], "left_anti")
+    met = keep(met.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b"))
+    tried = near.union(met)
+    edges = tree.union(keep(linked(met)))
 
     def split(edges):
         """(members of bands that their links leave apart, with each band's largest label; for each such band the number of the others, and of their hashes)"""
