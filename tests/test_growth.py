@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tripleweft.operators import features, packets, paths, patterns, wavefront
+from tripleweft.plans import catalog
 
 
 def test_reach_is_the_same_for_few_and_many_nodes(spark, monkeypatch):
@@ -107,3 +110,39 @@ def test_units_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     assert [(r.unit_id, r.place) for r in found.orderBy("place").collect()] == [(3 + 7 * i, i + 1) for i in range(5)]
     dealt = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
     assert len(dealt) == 1 and dealt[0].rstrip().endswith(", 11")
+
+
+def test_rows_of_edges_are_shuffled_once_for_nodes_and_edges(spark, monkeypatch):
+    """Rows that repeat edges are dealt by query; what a plan reads of edges, nodes and ranks shares that shuffle, and says the same as ranks of the edges themselves. Ends without a name are of no edge."""
+    g = random.Random(3)
+    name = lambda: g.choice([f"n{g.randint(0, 9)}", f"n{g.randint(0, 9)}", f"n{g.randint(0, 9)}", None])
+    rows = [(g.choice([f"q{g.randint(0, 30)}"] * 9 + [None]), name(), g.choice("ab"), name(), g.choice([0.01, 0.3, 0.6, 0.9, None])) for _ in range(900)]
+    rows = spark.createDataFrame(rows, "query_id string, s string, p string, o string, w double")
+    edges = rows.groupBy("query_id", "s", "p", "o").agg(F.max("w").alias("w"))
+    said = lambda parts: [sorted(map(str, df.collect())) for df in parts]
+    want = said([packets.packets(edges), *packets.ranked(edges)])
+    for per_task, many in ((100_000, 10_000), (50, 10_000), (100_000, 5)):
+        monkeypatch.setattr(packets, "PER_TASK", per_task)
+        monkeypatch.setattr(packets, "MANY", many)
+        own, parts = packets.merged(rows)
+        assert said([packets.packets(own, parts), *parts]) == want
+    monkeypatch.setattr(packets, "MANY", 10_000)
+    found = packets.packets(*packets.merged(rows))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("REPARTITION_BY_NUM") == 2  # a plan names the exchange where it is reused too
+
+
+def test_named_triples_are_counted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Edges are dealt by subject and by object, into tasks by their number."""
+    g = random.Random(2)
+    lines = [(i, g.randint(1, 20), g.randint(1, 9), i % 7, g.choice("AN"), "O", 0.1, 0.1) for i in range(300)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"part {i % 5}", 1.0, "b") for i in range(1, 21)], "p_partkey long, p_name string, p_retailprice double, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i, f"supplier {i}", 1.0, 1) for i in range(1, 10)], "s_suppkey long, s_name string, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(catalog, "EDGES_PER_TASK", 30, raising=False)
+    found = catalog.QUERIES["jn02_named_triples"](spark, str(tmp_path))
+    want = Counter((f"part {p % 5}", {"A": "causes", "N": "requires"}[f], f"supplier {s}") for _, p, s, _, f, *_ in lines)
+    assert {(r.subject, r.predicate, r.object): r.n for r in found.collect()} == want
+    dealt = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) == 2 and all(x.rstrip().endswith(", 11") for x in dealt)
