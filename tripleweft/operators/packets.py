@@ -1,6 +1,7 @@
 """Packets: the nodes and edges that count for each of many queries at once, and what is read off them.
 
 edges: query_id, s, p, o, w (0 to 1). Queries of few edges are shuffled once; of others, ranks are cut at a fixed k, which Spark applies before the shuffle too, so a query with very many edges isn't gathered.
+Where edges are made of rows that may repeat them, `merged` deals these rows by query, and edges, nodes and ranks are made of that one shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,17 +27,19 @@ def _best(df: DataFrame, k: int, group: list, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k)
 
 
-def _small(edges: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of queries of at most MANY edges: shuffled once, by query; windows and groups of a query's nodes and edges need no other shuffle."""
+def _small(edges: DataFrame, tasks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of queries of at most MANY edges: shuffled once, by query (tasks None: they lie so already); windows and groups of a query's nodes and edges need no other shuffle."""
     end = lambda side, node, a: F.struct(F.lit(side).alias("side"), F.col(node).alias("node"), a.alias("a"))
     ends = F.inline(F.array(end(0, "s", F.col("w")), end(1, "o", DECAY * F.col("w")), end(2, "query_id", F.lit(1.0))))
-    rows = edges.select("query_id", "s", "p", "o", "w").repartition(tasks, "query_id").select("query_id", "s", "p", "o", "w", ends)
+    rows = edges.select("query_id", "s", "p", "o", "w")
+    rows = (rows.repartition(tasks, "query_id") if tasks else rows).select("query_id", "s", "p", "o", "w", ends)
     whole = Window.partitionBy("query_id")
     nodes = rows.groupBy("query_id", "node").agg(F.max("a").alias("a")).withColumn("a", F.col("a") / F.max("a").over(whole))
     act = F.max("a").over(Window.partitionBy("query_id", "node")) / F.max("a").over(whole)
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("act")))
-    top = rows.withColumn("act", act).where("side < 2 AND query_id IS NOT NULL AND s IS NOT NULL AND o IS NOT NULL").groupBy("query_id", "s", "p", "o", "w").agg(of(0).alias("a_s"), of(1).alias("a_o"))
-    top = top.withColumn("score", F.col("a_s") * F.col("w") * F.col("a_o")).where((F.col("score") >= EDGE_FLOOR) | (F.col("w") >= SURE))
+    named = F.col("query_id").isNotNull() & F.col("s").isNotNull() & F.col("o").isNotNull()  # no filter, which Spark would move before the shuffle of `merged`, so that nodes and edges couldn't share it
+    of = lambda side: F.max(F.when((F.col("side") == side) & named, F.col("act")))
+    top = rows.withColumn("act", act).where("side < 2").groupBy("query_id", "s", "p", "o", "w").agg(of(0).alias("a_s"), of(1).alias("a_o"))
+    top = top.withColumn("score", F.col("a_s") * F.col("w") * F.col("a_o")).where((F.col("score") >= EDGE_FLOOR) | (F.col("score").isNotNull() & (F.col("w") >= SURE)))
     top = _best(top.select("query_id", "s", "o", "p", "w", "a_s", "a_o", "score"), TOP_EDGES, ["query_id"], F.desc("score"), "s", "p", "o")
     return _best(nodes.where(F.col("a") >= NODE_FLOOR), TOP_NODES, ["query_id"], F.desc("a"), "node"), top
 
@@ -81,6 +84,18 @@ def ranked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(a.unionByName(b) for a, b in zip(*of))
 
 
+def merged(rows: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """(edges, what `ranked` says of them) of rows(query_id, s, p, o, w): rows of one edge are one, with their greatest weight.
+
+    Where no query has more than MANY rows, these are dealt by query before edges are made of them; all that is made of the edges groups by more than the query and needs each row, so Spark shuffles the rows once for all uses in a plan.
+    """
+    most, total = rows.groupBy("query_id").agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    few = (most or 0) <= MANY
+    rows = rows.repartition((total or 0) // PER_TASK + 1, "query_id") if few else rows
+    edges = rows.groupBy("query_id", "s", "p", "o").agg(F.max("w").alias("w"))
+    return edges, _small(edges, None) if few else ranked(edges)
+
+
 def top_nodes(edges: DataFrame) -> DataFrame:
     """query_id, node, a, place of each query's best nodes: subjects take their greatest weight, objects 0.8 of it, the query itself 1; divided by the query's greatest."""
     return ranked(edges)[0]
@@ -94,10 +109,10 @@ def top_edges(edges: DataFrame) -> DataFrame:
 def packets(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
     """query_id, n_nodes, n_edges, confidence: 0.7 of the five best nodes' mean and 0.3 of the edges' share of twenty. parts: what `ranked` says of the edges, if that is known."""
     best, top = parts or ranked(edges)
-    nodes = best.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.avg(F.when(F.col("place") <= 5, F.col("a"))).alias("best"))
-    counted = top.groupBy("query_id").agg(F.count("*").alias("n_edges"))
-    n = F.coalesce("n_edges", F.lit(0))
-    return nodes.join(counted, "query_id", "left").select("query_id", "n_nodes", n.alias("n_edges"), F.round(0.7 * F.col("best") + 0.3 * F.least(n / 20, F.lit(1.0)), 3).alias("confidence"))
+    # counted together and not joined: a join drops null queries on one side, and then the two sides don't share a shuffle
+    rows = best.select("query_id", F.lit(1).alias("_node"), F.lit(0).alias("_edge"), F.when(F.col("place") <= 5, F.col("a")).alias("a")).unionByName(top.select("query_id", F.lit(0).alias("_node"), F.lit(1).alias("_edge"), F.lit(None).cast("double").alias("a")))
+    sums = rows.groupBy("query_id").agg(F.sum("_node").alias("n_nodes"), F.sum("_edge").alias("n_edges"), F.avg("a").alias("best")).where("n_nodes > 0")
+    return sums.select("query_id", "n_nodes", "n_edges", F.round(0.7 * F.col("best") + 0.3 * F.least(F.col("n_edges") / 20, F.lit(1.0)), 3).alias("confidence"))
 
 
 def definitions(edges: DataFrame, parts: tuple | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import noisy_or
-from .packets import TRUST, packets, ranked, top_edges
+from .packets import TRUST, packets, ranked
 
 # Predicates that speak against or for a claim, and the scores beyond which they settle it.
 AGAINST = ["contradicts", "negates", "incompatible_with", "refutes", "conflicts_with", "disproven_by", "opposes", "falsifies"]
@@ -20,14 +20,14 @@ NEED_TRUST, LEAST_GAP, MOST_GAPS = 0.8, 0.2, 8
 INTENT, COMPLETE, SURE, CONTINUITY, UNSUPPORTED, RISK, READY = 0.25, 0.25, 0.20, 0.15, 0.10, 0.05, 0.40
 
 
-def contradictions(edges: DataFrame, against: list[str] = AGAINST, supporting: list[str] = SUPPORTING, evidence: int = 5) -> DataFrame:
+def contradictions(edges: DataFrame, against: list[str] = AGAINST, supporting: list[str] = SUPPORTING, evidence: int = 5, parts: tuple | None = None) -> DataFrame:
     """query_id, status, against, support, confidence, evidence: the greatest proof against, noisy or of the proofs for, and the texts of the best of those.
 
     A query without such edges is insufficient_memory with scores of 0 and a confidence of 0.2.
     """
     proof = TRUST * F.col("w") * F.pow("score", F.lit(EVIDENCE_POWER))
     speaks = F.col("p").isin(supporting) & ~F.col("p").isin(against)
-    rows = top_edges(edges).withColumns({"proof": proof, "speaks": speaks, "says": F.format_string("%s %s %s (strength=%.2f)", "s", "p", "o", "w")}).where(speaks | F.col("p").isin(against))
+    rows = (parts or ranked(edges))[1].withColumns({"proof": proof, "speaks": speaks, "says": F.format_string("%s %s %s (strength=%.2f)", "s", "p", "o", "w")}).where(speaks | F.col("p").isin(against))
     texts = F.array_sort(F.collect_list(F.when(F.col("speaks"), F.struct((-F.col("proof")).alias("rank"), "place", "says"))))  # a packet has 60 edges at most
     sums = rows.groupBy("query_id").agg(
         F.max(F.when(~F.col("speaks"), F.col("proof"))).alias("against"), noisy_or(F.when(F.col("speaks"), F.col("proof"))).alias("support"),
@@ -54,12 +54,12 @@ def gaps(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
     return rows.withColumn("rank", rank).select("query_id", F.col("o").alias("item"), F.col("s").alias("required_by"), "p", "gap", told.alias("place"), F.count("*").over(whole).alias("n_required"), F.avg("gap").over(whole).alias("mean_gap"))
 
 
-def coverage(edges: DataFrame) -> DataFrame:
+def coverage(edges: DataFrame, parts: tuple | None = None) -> DataFrame:
     """query_id, missing, coverage, confidence: the gaps, worst first, and the share of needed items that aren't among them; all of it where nothing is needed.
 
     Gaps have four places and a packet's confidence three, so sums are kept as whole numbers and divided once.
     """
-    parts = ranked(edges)
+    parts = parts or ranked(edges)
     sums = gaps(edges, parts).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "item")))), lambda x: x["item"]).alias("missing"),
         (F.count("*") - F.count("place")).alias("held"), F.count("*").alias("n"), F.sum(F.round(F.col("gap") * 10000).cast("long")).alias("total"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import packets, resolution, sessions
+from ..operators import resolution, sessions
 from ..sources.tables import anchors, relations, table
 from .catalog import ANC, REL, query
 from .packet_queries import PACKET, packet_edges
@@ -80,7 +80,7 @@ def jn26(spark, d):
 @query("ag19_coherence", f"WITH {PACKET} SELECT query_id, sum(a_s * a_o * w) / nullif(sum(a_s * a_o), 0) AS coherence FROM top_edges GROUP BY 1", rounded="coherence")
 def ag19(spark, d):
     both = F.col("a_s") * F.col("a_o")
-    return packets.top_edges(packet_edges(spark, d)).groupBy("query_id").agg((F.sum(both * F.col("w")) / F.nullif(F.sum(both), F.lit(0.0))).alias("coherence"))
+    return packet_edges(spark, d)[1][1].groupBy("query_id").agg((F.sum(both * F.col("w")) / F.nullif(F.sum(both), F.lit(0.0))).alias("coherence"))
 
 
 @query("ag25_relation_density", f"""WITH {REL}, {ANC}, a AS (SELECT domain, count(*) AS anchors, count(*) FILTER (maturity < 1000) AS low FROM anchors GROUP BY 1 HAVING count(*) >= 5), i AS (SELECT domain, count(*) AS n FROM relations JOIN anchors ON id = subject_id GROUP BY 1), t AS (SELECT l_linestatus AS domain, count(*) AS n FROM lineitem GROUP BY 1),

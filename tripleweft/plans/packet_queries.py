@@ -16,14 +16,15 @@ PACKET = f"""{REL}, e AS (SELECT 'q' || capsule_id AS query_id, subject_id AS s,
     FROM (SELECT query_id, count(*) AS n_nodes, avg(a) FILTER (place <= 5) AS best FROM top_nodes GROUP BY 1) LEFT JOIN (SELECT query_id, count(*) AS n_edges FROM top_edges GROUP BY 1) USING (query_id))"""
 
 
-def packet_edges(spark, d):
-    p = F.when(F.col("predicate") == "causes", "is_a").when(F.col("predicate") == "inhibits", "used_for").otherwise(F.col("predicate"))
-    return relations(spark, d).groupBy(F.concat(F.lit("q"), "capsule_id").alias("query_id"), F.col("subject_id").alias("s"), p.alias("p"), F.col("object_id").alias("o")).agg(F.max("confidence").alias("w"))
+def packet_edges(spark, d, needs: bool = False):
+    """(edges, ranked nodes and edges) of every order; with needs, edges of kind tell what they block."""
+    p = F.when(F.col("predicate") == "causes", "blocks" if needs else "is_a").when(F.col("predicate") == "inhibits", "used_for").otherwise(F.col("predicate"))
+    return packets.merged(relations(spark, d).select(F.concat(F.lit("q"), "capsule_id").alias("query_id"), F.col("subject_id").alias("s"), p.alias("p"), F.col("object_id").alias("o"), F.col("confidence").alias("w")))
 
 
 @query("cg00_packets", f"WITH {PACKET} SELECT * FROM packets")
 def cg00(spark, d):
-    return packets.packets(packet_edges(spark, d))
+    return packets.packets(*packet_edges(spark, d))
 
 
 @query("cg01_definitions", f"""WITH {PACKET}, h AS (SELECT query_id, CASE p WHEN 'is_a' THEN 'genus' WHEN 'used_for' THEN 'function' ELSE 'relations' END AS slot, o, a_s * CASE p WHEN 'requires' THEN 0.85 ELSE 1.0 END * w AS hit FROM top_edges),
@@ -31,7 +32,7 @@ def cg00(spark, d):
   f AS (SELECT query_id, max(o) FILTER (place = 1 AND slot = 'genus') AS genus, coalesce(string_agg(o, ',' ORDER BY place) FILTER (slot = 'function'), '') AS functions, count(*) FILTER (place = 1) / 4 AS completeness, avg(hit) FILTER (place = 1 AND hit > 0) AS mean FROM r GROUP BY 1)
   SELECT query_id, genus, coalesce(functions, '') AS functions, coalesce(completeness, 0.0) AS completeness, round(coalesce(CASE WHEN mean > 1 THEN 1.0 ELSE mean END, 0.5 * confidence), 9) AS confidence FROM packets LEFT JOIN f USING (query_id)""")
 def cg01(spark, d):
-    return packets.definitions(packet_edges(spark, d))
+    return packets.definitions(*packet_edges(spark, d))
 
 
 @query("cg08_confidence", f"""WITH {PACKET}, near AS (SELECT query_id, node FROM top_nodes WHERE place <= 15),
@@ -40,7 +41,8 @@ def cg01(spark, d):
   c AS (SELECT query_id, least(count(*) / 10, 1.0) AS coverage FROM top_nodes GROUP BY 1)
   SELECT query_id, round(1 / (1 + exp(-(4 * (0.25 * coalesce(evidence, 0) + 0.2 * coverage + 0.2 * least(coalesce(coherence, 0.5), 1.0) + 0.15 * coalesce(trust, 0) - 0.1 * coalesce(against, 0) - 0.025 * (1 - coverage)) - 2))), 3) AS confidence FROM c LEFT JOIN z USING (query_id)""")
 def cg08(spark, d):
-    return packets.confidence(packet_edges(spark, d), ["used_for"])
+    edges, parts = packet_edges(spark, d)
+    return packets.confidence(edges, ["used_for"], parts)
 
 
 NAMED = f"""{NATIONS}, e AS (SELECT a.n_name AS s, CASE n % 3 WHEN 0 THEN 'causes' WHEN 1 THEN 'is_a' ELSE 'knows' END AS p, b.n_name AS o FROM nation_edges JOIN nation a ON a.n_nationkey = subject_id JOIN nation b ON b.n_nationkey = object_id),

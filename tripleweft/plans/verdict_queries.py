@@ -10,12 +10,6 @@ from .packet_queries import PACKET, packet_edges
 WEIGHTS = "CASE p WHEN 'requires' THEN 1.0 WHEN 'is_a' THEN 0.7 END"
 
 
-def needing(spark, d):
-    """The packets' edges, those of kind told as what they block; the order of the predicates stays."""
-    e = packet_edges(spark, d)
-    return e.withColumn("p", F.when(F.col("p") == "is_a", "blocks").otherwise(F.col("p")))
-
-
 @query("cg04_comparisons", """WITH f AS (SELECT c_nationkey AS id, c_mktsegment AS p, o_orderpriority AS o, count(*) / (count(*) + 20.0) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
   k AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, p, o FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey JOIN f ON f.id IN (x.n_nationkey, y.n_nationkey) GROUP BY ALL),
   w AS (SELECT k.a, k.b, coalesce(f.w, 0) AS x, coalesce(g.w, 0) AS y FROM k LEFT JOIN f ON f.id = k.a AND f.p = k.p AND f.o = k.o LEFT JOIN f g ON g.id = k.b AND g.p = k.p AND g.o = k.o),
@@ -35,7 +29,8 @@ def cg04(spark, d):
   v AS (SELECT query_id, coalesce(against, 0) AS against, coalesce(support, 0) AS support, coalesce(n, 0) AS n, coalesce(evidence, '') AS evidence FROM (SELECT DISTINCT query_id FROM e) LEFT JOIN z USING (query_id) LEFT JOIN t USING (query_id))
   SELECT query_id, CASE WHEN against > 0.35 THEN 'contradicted' WHEN support > 0.55 THEN 'supported' ELSE 'insufficient_memory' END AS status, round(against, 6) AS against, round(support, 6) AS support, round(least(abs(support - against) * n + 0.2, 1.0), 6) AS confidence, evidence FROM v""")
 def cg05(spark, d):
-    found = verdicts.contradictions(packet_edges(spark, d), ["used_for"])
+    edges, parts = packet_edges(spark, d)
+    found = verdicts.contradictions(edges, ["used_for"], parts=parts)
     return found.withColumns({c: F.round(c, 6) for c in ("against", "support", "confidence")}).withColumn("evidence", F.array_join("evidence", "; "))
 
 
@@ -46,14 +41,14 @@ GAPS = f"""{PACKET}, need AS (SELECT *, count(*) OVER (PARTITION BY query_id, o)
 
 @query("cg06_gaps", f"WITH {GAPS} SELECT query_id, place, item, required_by, p, gap FROM gaps WHERE gap >= 0.2 AND place <= 8")
 def cg06(spark, d):
-    return verdicts.gaps(needing(spark, d)).where("place IS NOT NULL").select("query_id", F.col("place").cast("long").alias("place"), "item", "required_by", "p", "gap")
+    return verdicts.gaps(*packet_edges(spark, d, needs=True)).where("place IS NOT NULL").select("query_id", F.col("place").cast("long").alias("place"), "item", "required_by", "p", "gap")
 
 
 @query("cg06_coverage", f"""WITH {GAPS}, z AS (SELECT query_id, string_agg(item, ',' ORDER BY place) FILTER (gap >= 0.2 AND place <= 8) AS missing, count(*) - count(*) FILTER (gap >= 0.2 AND place <= 8) AS held, count(*) AS n, CAST(sum(CAST(round(gap * 10000) AS BIGINT)) AS BIGINT) AS total FROM gaps GROUP BY 1),
   k AS (SELECT *, CAST(round(confidence * 1000) AS BIGINT) AS c FROM packets LEFT JOIN z USING (query_id))
   SELECT query_id, coalesce(missing, '') AS missing, coalesce(held / n, 1.0) AS coverage, CASE WHEN n IS NULL THEN (c * 4) / 10000 ELSE least((c * 10 * n + total + 3000 * n) / (20000 * n), 0.95) END AS confidence FROM k""")
 def cg06_coverage(spark, d):
-    return verdicts.coverage(needing(spark, d)).withColumn("missing", F.array_join("missing", ","))
+    return verdicts.coverage(*packet_edges(spark, d, needs=True)).withColumn("missing", F.array_join("missing", ","))
 
 
 def responses(definitions, assessed, last):
@@ -77,7 +72,6 @@ def responses(definitions, assessed, last):
   SELECT query_id, round(sure, 6) AS confidence, round(0.25 + 0.25 * complete + 0.2 * sure + 0.15 * CASE WHEN last IN ('3', '4') THEN 0.7 ELSE 0.5 END - CASE WHEN genus IS NULL THEN 0.02 ELSE 0 END - CASE WHEN last IN ('0', '1', '2') THEN 0.01 ELSE 0 END, 6) AS quality FROM v""")
 def cg11(spark, d):
     """The quality of definitions as responses, by the confidence blended from theirs and the packet's (CG-12)."""
-    e = packet_edges(spark, d)
-    parts = packets.ranked(e)
+    e, parts = packet_edges(spark, d)
     rows = responses(packets.definitions(e, parts), packets.confidence(e, ["used_for"], parts), F.right(F.col("query_id"), F.lit(1)))
     return rows.select("query_id", F.round("confidence", 6).alias("confidence"), F.round("quality", 6).alias("quality"))
