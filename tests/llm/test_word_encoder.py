@@ -34,3 +34,13 @@ def test_planes_of_wide_and_narrow_ids():
     for top in (1, 2, 255, 49_408, 70_000, 1 << 20):
         ids = np.random.default_rng(top).integers(0, top, 5000).astype(np.uint32)
         assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes()).decode().tolist() == ids.tolist()
+
+
+def test_marks_behind_words(monkeypatch):
+    """A word with marks behind it is learnt without them, unless its last letter turns into a letter and a mark, which goes with them."""
+    plain, coder, seen = Tokenizer.from_file(queries.VOCABULARY), wavelet.Encoder(queries.VOCABULARY), []
+    ids = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda text: seen.append(text) or ids(text))
+    texts = ["İ. İ, aİ### क़. क़!!", "word### groß,%%% word$$$ groß", "don't. 'll, 's### a'. a'## x≠ ='."]
+    assert [x.tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(x.count("word") for x in seen) == sum(x.count("groß") for x in seen) == 1
