@@ -146,3 +146,56 @@ def test_named_triples_are_counted_in_tasks_of_bounded_size(spark, tmp_path, mon
     assert {(r.subject, r.predicate, r.object): r.n for r in found.collect()} == want
     dealt = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
     assert len(dealt) == 2 and all(x.rstrip().endswith(", 11") for x in dealt)
+
+
+def _least_paths(pairs, seed, depth):
+    """Level by level, the least path from seed to each node that no level before has."""
+    levels, seen = [{seed: (seed,)}], {seed}
+    for _ in range(depth):
+        new = {}
+        for a, b in pairs:
+            if a in levels[-1] and b not in seen:
+                new[b] = min(new.get(b, ("~",)), (*levels[-1][a], b))
+        seen |= set(new)
+        levels.append(new)
+    return levels
+
+
+def test_reach_looks_for_ends_alone_in_its_last_level(spark, monkeypatch):
+    kept = []
+    own = paths.keep
+    monkeypatch.setattr(paths, "keep", lambda df: kept.append(own(df)) or kept[-1])
+    g = random.Random(8)
+    pairs = sorted({(f"n{g.randint(0, 40)}", f"n{g.randint(0, 40)}") for _ in range(110)})
+    edges, seeds = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("n1",), ("n2",), ("n9",)], "seed string")
+    ends = [f"n{i}" for i in range(0, 40, 7)]
+    want = {s: _least_paths(pairs, s, 3) for s in ("n1", "n2", "n9")}
+    for few in (500_000, 0):
+        monkeypatch.setattr(paths, "FEW_NODES", few)
+        got = {(r.seed, r.node, tuple(r.path)) for r in paths.reach(edges, seeds, 3, spark.createDataFrame([(e,) for e in ends], "node string")).collect()}
+        assert got == {(s, n, p) for s in want for level in want[s] for n, p in level.items() if n in ends} and len({len(p) for *_, p in got}) > 1
+        assert {r.node for df in kept for r in df.where("size(path) = 4").collect()} <= set(ends)
+        assert {(r.seed, r.node, tuple(r.path)) for r in paths.reach(edges, seeds, 3).collect()} == {(s, n, p) for s in want for level in want[s] for n, p in level.items()}
+        kept.clear()
+
+
+def test_longest_makes_no_last_level(spark, monkeypatch):
+    """The last level holds most nodes; of it only a path for each seed is made."""
+    kept = []
+    own = paths.keep
+    monkeypatch.setattr(paths, "keep", lambda df: kept.append(own(df)) or kept[-1])
+    g = random.Random(5)
+    pairs = [(f"a{g.randint(0, 60)}", f"b{g.randint(0, 60)}") for _ in range(90)] + [("lone", "pair"), ("a1", "a1"), ("hub", "z0"), ("z0", "z1"), ("z0", "z2")] + [("z2", f"y{i}") for i in range(50)]
+    seeds = ["a1", "a2", "b3", "lone", "hub", "z1", "nowhere"]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    both = pairs + [p[::-1] for p in pairs]
+    for depth in (1, 3, 4):
+        want = {s: min((len(level) and (-k, min(level.values())) or (0, (s,))) for k, level in enumerate(_least_paths(both, s, depth)))[1] for s in seeds}
+        for looked, few in ((100, 500_000), (1, 0)):
+            monkeypatch.setattr(paths, "FIRST_LOOKED", looked, raising=False)
+            monkeypatch.setattr(paths, "FEW_NODES", few)
+            kept.clear()
+            got = {r.seed: tuple(r.path) for r in paths.longest(edges, spark.createDataFrame([(s,) for s in seeds], "seed string"), depth).collect()}
+            assert got == want
+            last = [len(df.where(F.size("path") == depth + 1).select("seed").collect()) for df in kept if "path" in df.columns]
+            assert sum(last) <= len(seeds)

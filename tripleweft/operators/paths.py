@@ -15,7 +15,8 @@ CAUSAL = {
 }
 PRIMARY = ["causes", "leads_to", "enables", "produces", "requires"]
 TRUST, DECAY, DEPTH, BEAM = 0.80, 0.30, 4, 6
-FEW_NODES = 100_000  # so many names of nodes may be broadcast (some 10 MB)
+FEW_NODES = 500_000  # so many hashes of nodes may be broadcast (some 30 MB)
+FIRST_LOOKED = 100  # so many nodes of a seed's last level are looked at first, ten times as many whenever they lead to nothing new
 # Goal and feasibility of predicates that name a step, those that name a risk, weights of a step's use.
 STEPS = {
     "requires": (0.8, 0.7), "enables": (0.9, 0.8), "depends_on": (0.7, 0.6), "produces": (0.85, 0.75), "blocks": (0.3, 0.2), "leads_to": (0.8, 0.7), "prevents": (0.4, 0.3), "next_step": (1.0, 0.9),
@@ -29,21 +30,43 @@ def _mapped(table: dict, key: Column, rest) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(rest))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed, node, path (of nodes) of all that each of seeds(seed) reaches along edges(src, dst) in up to `depth` steps, breadth first: each node once, by the least of its shortest paths."""
+def _leading(steps: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
+    """steps whose `column` is one of nodes(node). Where these are few, other steps are dropped where they lie, by hashes; some that are not of the nodes may stay, so a join by name must follow."""
+    at = nodes.select(F.xxhash64("node").alias("_h")).distinct()
+    if at.limit(FEW_NODES + 1).count() > FEW_NODES:
+        return steps
+    return steps.withColumn("_h", F.xxhash64(column)).join(F.broadcast(at), "_h", "left_semi").drop("_h")
+
+
+def _in_order(front: DataFrame) -> DataFrame:
+    """front, kept, with _rank: a number that grows with the path. Paths of a level have one length, so the least path to a node comes through the least path to the node before it, and steps need not carry paths."""
+    return keep(front.orderBy("path").withColumn("_rank", F.monotonically_increasing_id()))
+
+
+def _levels(edges: DataFrame, seeds: DataFrame, depth: int, ends: DataFrame | None = None) -> list[DataFrame]:
+    """The levels of `reach`, kept: seed, node, path, _rank of the nodes met first after 0, 1, ... steps, up to the last that has any."""
     steps = edges.select(F.col("src").alias("node"), "dst")  # an edge that comes twice changes no least path
-    seen = keep(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
-    front = seen
-    for _ in range(depth):
-        at = front.select("node").distinct()
-        few = at.limit(FEW_NODES + 1).count() <= FEW_NODES  # then edges that start elsewhere are dropped where they lie, before the shuffle
-        own = steps.join(F.broadcast(at), "node", "left_semi") if few else steps
-        found = front.join(own, "node").select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
-        front = keep(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
+    levels = [_in_order(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())]
+    for k in range(1, depth + 1):
+        own = _leading(steps, levels[-1])
+        if ends is not None and k == depth:
+            own = _leading(own, ends, "dst")
+        met = levels[-1].select("seed", "node", "_rank").join(own, "node").groupBy("seed", F.col("dst").alias("node")).agg(F.min("_rank").alias("_rank"))
+        if ends is not None and k == depth:
+            met = met.join(ends, "node", "left_semi")
+        seen = reduce(DataFrame.unionByName, [x.select("seed", "node") for x in levels])
+        new = met.join(seen, ["seed", "node"], "left_anti")
+        front = _in_order(new.join(levels[-1].select("_rank", "path"), "_rank").select("seed", "node", F.concat("path", F.array("node")).alias("path")))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        levels.append(front)
+    return levels
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, ends: DataFrame | None = None) -> DataFrame:
+    """seed, node, path (of nodes) of all that each of seeds(seed) reaches along edges(src, dst) in up to `depth` steps, breadth first: each node once, by the least of its shortest paths. With ends(node), only these nodes; then the last level looks at steps to them alone."""
+    found = reduce(DataFrame.unionByName, _levels(edges, seeds, depth, ends)).select("seed", "node", "path")
+    return found if ends is None else found.join(ends, "node", "left_semi").select("seed", "node", "path")
 
 
 def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: int = 60, per_node: int = 8, least_seen: int = 2, most: int = 25) -> DataFrame:
@@ -86,14 +109,31 @@ def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: i
 
 
 def longest(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed, path: of the nodes that each seed reaches, edges taken both ways, the path to the farthest (ties: the least path)."""
+    """seed, path: of the nodes that each seed reaches, edges taken both ways, the path to the farthest (ties: the least path).
+
+    The last level, which may hold most nodes of all seeds, is not made: a seed's paths are followed in their order until one leads to a node that the seed hasn't met, which gives the least path of that level.
+    """
     both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    return reach(both, seeds, depth).groupBy("seed").agg(F.min(F.struct(-F.size("path"), "path"))["path"].alias("path"))
+    levels = _levels(both, seeds, depth - 1)
+    seen = reduce(DataFrame.unionByName, levels)
+    told = [seen.groupBy("seed").agg(F.min(F.struct(-F.size("path"), "path"))["path"].alias("path"))]
+    if len(levels) == depth:
+        steps, size = both.select(F.col("src").alias("node"), "dst"), FIRST_LOOKED
+        rest = keep(levels[-1].withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("_rank"))))
+        start = 0
+        while not rest.isEmpty():
+            now = rest.where((F.col("_n") > start) & (F.col("_n") <= start + size))
+            met = now.select("seed", "node", "_rank").join(_leading(steps, now), "node").groupBy("seed", F.col("dst").alias("node")).agg(F.min("_rank").alias("_rank"))
+            least = met.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").groupBy("seed").agg(F.min(F.struct("_rank", "node")).alias("x")).select("seed", "x.*")
+            told.append(keep(least.join(now.select("_rank", "path"), "_rank").select("seed", F.concat("path", F.array("node")).alias("path"))))
+            start, size = start + size, 10 * size
+            rest = rest.where(F.col("_n") > start).join(told[-1].select("seed"), "seed", "left_anti")
+    return reduce(DataFrame.unionByName, told).groupBy("seed").agg(F.min(F.struct(-F.size("path"), "path"))["path"].alias("path"))
 
 
 def between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """src, dst, path: the shortest path (ties: the least) of each of pairs(src, dst) that has one of up to `depth` steps."""
-    found = reach(edges, pairs.select(F.col("src").alias("seed")).distinct(), depth)
+    found = reach(edges, pairs.select(F.col("src").alias("seed")).distinct(), depth, pairs.select(F.col("dst").alias("node")).distinct())
     return pairs.join(found.select(F.col("seed").alias("src"), F.col("node").alias("dst"), "path"), ["src", "dst"])
 
 
