@@ -75,10 +75,10 @@ def gr14(spark, d):
 @query("gr16_path_between", f"WITH {BOTH}, {ANC}, {SEEDS}, {reach_sql('both_ways', 4)} SELECT seed AS src, node AS dst, array_to_string(path, ' ') AS path FROM reached WHERE node IN (SELECT 's' || s_suppkey FROM supplier)")
 def gr16(spark, d):
     """The shortest path from the dearest part of each brand to every supplier of any part of the brand's neighbours, over all lines."""
-    e = both_ways(spark, d).select("src", "dst")
-    ends = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("dst"))
-    found = paths.reach(e, dearest(spark, d), 4).select(F.col("seed").alias("src"), F.col("node").alias("dst"), "path")
-    return found.join(ends, "dst", "left_semi").select("src", "dst", F.array_join("path", " ").alias("path"))
+    e = relations(spark, d).select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
+    ends = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")).distinct()
+    found = paths.reach(e.union(e.select("dst", "src")), dearest(spark, d), 4, ends)
+    return found.select(F.col("seed").alias("src"), F.col("node").alias("dst"), F.array_join("path", " ").alias("path"))
 
 
 # --- patterns: parts cause, require or inhibit suppliers, suppliers lie in nations, nations want parts ---
