@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tripleweft.operators import features, packets, paths, patterns, wavefront
+from tripleweft.operators import dialogue, features, packets, paths, patterns, wavefront
 from tripleweft.plans import catalog
 
 
@@ -199,3 +199,30 @@ def test_longest_makes_no_last_level(spark, monkeypatch):
             assert got == want
             last = [len(df.where(F.size("path") == depth + 1).select("seed").collect()) for df in kept if "path" in df.columns]
             assert sum(last) <= len(seeds)
+
+
+def test_focus_sends_no_texts_or_exploded_words_to_the_driver(spark, monkeypatch):
+    """Words go with a number instead of their text, and they are never the side that is broadcast; bounds of ranges hold beginnings of texts only."""
+    g = random.Random(6)
+    turns = [(f"s{g.randint(0, 5)}", g.choice([0, 1, 2, 3, None]), g.choice(["x" * 80, ""]) + " ".join(g.choice(["alpha", "beta", "gamma", "delta", "what is", "term", "is", "and in physics"]) for _ in range(g.randint(0, 4)))) for _ in range(120)]
+    turns = spark.createDataFrame([*turns, ("s1", 1, None)], "session string, turn long, text string")
+    senses = spark.createDataFrame([("alpha", 3), ("beta", 3), ("gamma", 5)], "word string, n long")
+    given, own, found = [], dialogue.keep, []
+    monkeypatch.setattr(dialogue, "keep", lambda df: given.append(df) or own(df))
+    for few in (100_000, 1):
+        monkeypatch.setattr(dialogue, "FEW_WORDS", few, raising=False)
+        given.clear()
+        found.append(sorted(map(str, dialogue.focus(turns, senses).collect())))
+        plan = [x for df in given for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+        joins = [x for x in plan if " Join " in x or "- Join" in x]
+        assert not any("text#" in x for x in joins) and any("word#" in x and "Inner" in x and f"strategy={'broadcast' if few > 1 else 'merge'}" in x for x in joins)
+        dealt = [x for x in plan if "RepartitionByExpression" in x]
+        assert len(dealt) == 1 and "substring(text#" in dealt[0]
+    assert found[0] == found[1] and len(found[0]) == 121
+    by = {}
+    for r in turns.collect():
+        if r.text is not None and "what is" not in r.text:
+            words = {w for w in r.text.split() if w in ("alpha", "beta", "gamma")}
+            by[r.session, r.turn, r.text] = min(words, key=lambda w: ({"alpha": -3, "beta": -3, "gamma": -5}[w], w)) if words else None
+    told = dialogue.focus(turns, senses).join(turns.where("text NOT LIKE '%what is%' AND text NOT LIKE 'and in%'"), ["session", "turn"])
+    assert {(r.session, r.turn, r.term) for r in told.collect()} >= {(s, n, t) for (s, n, x), t in by.items() if n is not None and not x.startswith("and in")}

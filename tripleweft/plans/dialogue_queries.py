@@ -32,7 +32,7 @@ STOP = ", ".join(f"'{w}'" for w in dialogue.NO_FOCUS)
 def fm21_focus(spark, d):
     """The focus of every dialogue after each of the user's turns; a word has as many senses as conversations use it. These texts hold no follow-ups; tests/test_dialogue.py has them."""
     t = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", "text")
-    words = t.select("session", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z\\s]", ""), "\\s+")).alias("word")).where(F.length("word") > 2).distinct()
+    words = t.select("session", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z\\s]", ""), "\\s+"))).alias("word")).where(F.length("word") > 2).distinct()
     senses = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
     return dialogue.focus(t, senses).select("session", "turn", "act", "need", "term", "focus")
 
