@@ -226,3 +226,20 @@ def test_focus_sends_no_texts_or_exploded_words_to_the_driver(spark, monkeypatch
             by[r.session, r.turn, r.text] = min(words, key=lambda w: ({"alpha": -3, "beta": -3, "gamma": -5}[w], w)) if words else None
     told = dialogue.focus(turns, senses).join(turns.where("text NOT LIKE '%what is%' AND text NOT LIKE 'and in%'"), ["session", "turn"])
     assert {(r.session, r.turn, r.term) for r in told.collect()} >= {(s, n, t) for (s, n, x), t in by.items() if n is not None and not x.startswith("and in")}
+
+
+def test_shared_pairs_are_counted_by_numbers_and_never_shuffled(spark, monkeypatch):
+    """Lists of numbers go to blocks in one shuffle; pairs are counted some at a time, and concepts of two areas are counted in each."""
+    monkeypatch.setattr(features, "PAIRS_AT_ONCE", 20, raising=False)
+    g = random.Random(11)
+    held = sorted({(g.choice("ab"), f"c{g.randint(0, 25)}", f"o{g.randint(0, 9)}") for _ in range(160)} | {("z", "alone", "o1")})
+    rows = spark.createDataFrame(held, "area string, concept string, o string")
+    want = Counter()
+    for a, c, o in held:
+        want.update((a, c, k) for b, k, p in held if a == b and o == p and c != k)
+    best = sorted((c, k, n) for a in "ab" for c in {h[1] for h in held} for n, k in sorted((-n, k) for (b, d, k), n in want.items() if b == a and d == c)[:3] for n in [-n])
+    for block in (10_000, 4):
+        found = features.most_shared(rows, 3, block)
+        assert sorted(tuple(r) for r in found.collect()) == best
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("FlatMapGroupsInArrow") == 1

@@ -93,10 +93,11 @@ def snk13(spark, d):
   SELECT concept, p, o, confidence, row_number() OVER (PARTITION BY concept ORDER BY confidence DESC, p, o) AS place FROM x WHERE (concept, o) NOT IN (SELECT (s, o) FROM e) AND NOT (p = 'inhibits' AND o = 's1') QUALIFY place <= 10""", rounded="confidence")
 def gr28_brand(spark, d):
     """What each part may inherit from the four parts of its brand with which it shares most suppliers."""
-    e = relations(spark, d).select(F.col("subject_id").alias("s"), F.col("predicate").alias("p"), F.col("object_id").alias("o")).distinct()
-    brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("s"), F.col("p_brand").alias("brand"))
-    near = features.most_shared(e.select("s", "o").distinct().join(brands, "s").select(F.col("brand").alias("area"), F.col("s").alias("concept"), "o"), 4)
+    brands = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("s"), F.col("p_brand").alias("brand")).distinct()
+    e = relations(spark, d).select(F.col("subject_id").alias("s"), F.col("predicate").alias("p"), F.col("object_id").alias("o")).repartition("s")  # dealt once; what follows reads what is kept
+    held = keep(e.groupBy("s", "o").agg(F.collect_set("p").alias("ps")).join(brands.groupBy("s").agg(F.collect_list("brand").alias("brands")), "s"))
+    near = features.most_shared(held.select(F.explode("brands").alias("area"), F.col("s").alias("concept"), "o"), 4)
     near = near.select("concept", "other", (F.col("shared") / 30).alias("similarity"))
-    rejected = e.select(F.col("s").alias("concept"), F.lit("inhibits").alias("p"), F.lit("s1").alias("o")).distinct()
-    found = features.proposals(near, e, e.select(F.col("s").alias("concept"), "o").distinct(), rejected, {"causes": 0.9, "requires": 1.0}, F.lit(0.7), neighbors=4)
+    rejected = brands.select(F.col("s").alias("concept"), F.lit("inhibits").alias("p"), F.lit("s1").alias("o"))
+    found = features.proposals(near, held.select("s", F.explode("ps").alias("p"), "o"), held.select(F.col("s").alias("concept"), "o"), rejected, {"causes": 0.9, "requires": 1.0}, F.lit(0.7), neighbors=4)
     return found.withColumn("place", F.col("place").cast("long"))
