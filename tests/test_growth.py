@@ -243,3 +243,16 @@ def test_shared_pairs_are_counted_by_numbers_and_never_shuffled(spark, monkeypat
         assert sorted(tuple(r) for r in found.collect()) == best
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_multihop_keeps_no_paths_and_deals_a_level_once(spark, monkeypatch):
+    """Paths are made of the places of nodes at the end; what a level meets goes by seed in one shuffle."""
+    given, own = [], paths.keep
+    monkeypatch.setattr(paths, "keep", lambda df: given.append(df) or own(df))
+    rows = [("a", "p", f"b{j}", 9 - j) for j in range(4)] + [(f"b{j}", "q", f"c{j}{k}", 5) for j in range(3) for k in range(2)] + [("c00", "r", "d", 5), ("c01", "r", "d", 5), ("d", "s", "e", 5)]
+    found = paths.multihop(spark.createDataFrame(rows, "src string, p string, dst string, seen long"), spark.createDataFrame([("a",), ("d",), ("e",)], "seed string"), max_nodes=9, most=5)
+    got = {(r.seed, r.place): (r.hops, " ".join(r.path)) for r in found.collect()}
+    assert got == {("a", 1): (2, "a p b0 q c00"), ("a", 2): (2, "a p b0 q c01"), ("a", 3): (2, "a p b1 q c10"), ("a", 4): (2, "a p b1 q c11"), ("a", 5): (1, "a p b2"), ("d", 1): (1, "d s e")}
+    assert given and all("path" not in df.columns for df in given)
+    dealt = [df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [seed#") for df in given]
+    assert max(dealt) == 1

@@ -74,38 +74,46 @@ def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: i
 
     From a node only the per_node edges seen most go on (least_seen at least; ties by dst, then p), and each node is entered once a seed, by the first edge of the first node in the queue. A node is not looked
     at once max_nodes nodes are known to its seed; it then ends its path, as a node without edges does and one at max_hops. Nodes whose neighbours were all entered by others end no path.
-    A seed's queue holds under max_nodes + per_node nodes, so its windows are small; a hub's edges are cut to per_node before they are shuffled.
+    A seed's queue holds under max_nodes + per_node nodes, so its windows are small; a hub's edges are cut to per_node before they are shuffled. What a level meets is dealt by seed once; nodes know the place of the
+    one before them, and paths are made at the end for those that are told.
     """
     first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("seen"), "dst", "p"))
     steps = edges.where((F.col("seen") >= least_seen) & (F.col("src") != F.col("dst"))).withColumn("_r", first).where(F.col("_r") <= per_node)
     steps = keep(steps.select(F.col("src").alias("node"), "_r", "p", "dst"))
-    ends = steps.select("node").distinct()
-    front = keep(seeds.select("seed", F.col("seed").alias("node"), F.array(F.col("seed").cast("string")).alias("path"), F.lit(1).alias("_pos")).distinct())
-    visited, known, done = front.select("seed", "node"), None, []
+    ends = steps.select("node", F.lit(True).alias("_has")).distinct()
+    own = Window.partitionBy("seed")
+    # _known: how many nodes a seed knows before it looks at a level
+    fronts = [keep(seeds.select("seed", F.col("seed").alias("node"), F.lit(1).alias("_pos"), F.lit(1).alias("_known")).distinct())]
+    done = []
     for hops in range(max_hops):
-        # seeds that know enough look at no more nodes; paths stay with the queue until a child needs them
-        looking = front if known is None else front.join(known.where(F.col("_known") < max_nodes), "seed", "left_semi")
-        met = looking.select("seed", "node", "_pos").join(steps, "node").select("seed", "_pos", "_r", "p", F.col("dst").alias("node")).join(visited, ["seed", "node"], "left_anti")
-        entered = keep(met.groupBy("seed", "node").agg(F.min(F.struct("_pos", "_r", "p")).alias("x")).select("seed", "node", "x.*"))
-        # how many nodes a seed knows before it looks at each node of the queue
-        before = F.sum("_new").over(Window.partitionBy("seed").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
-        queue = front.join(entered.groupBy("seed", "_pos").agg(F.count("*").alias("_new")), ["seed", "_pos"], "left").fillna(0, ["_new"])
-        queue = queue.withColumn("_known", F.lit(1)) if known is None else queue.join(known, "seed")
-        queue = queue.withColumn("_looked", F.col("_known") + F.coalesce(before, F.lit(0)) < max_nodes).join(ends.withColumn("_has", F.lit(True)), "node", "left")
-        queue = keep(queue.select("seed", "node", "path", "_pos", "_new", "_known", "_looked", "_has"))
+        looking = fronts[-1].where(F.col("_known") < max_nodes)  # seeds that know enough look at no more nodes
+        met = looking.select("seed", "node", "_pos", "_known").join(steps, "node").select("seed", F.col("dst").alias("node"), F.struct("_pos", "_r", "p").alias("x"), "_known")
+        seen = reduce(DataFrame.unionByName, [x.select("seed", "node") for x in (*fronts[:-1], looking)])
+        rows = met.unionByName(seen.withColumns({"x": F.lit(None).cast(met.schema["x"].dataType), "_known": F.lit(None).cast("int")})).repartition("seed")
+        new = rows.groupBy("seed", "node").agg(F.min("x").alias("x"), F.max("_known").alias("_known"), F.max(F.col("x").isNull()).alias("_seen")).where(~F.col("_seen")).select("seed", "node", "x.*", "_known")
+        # a node is looked at as long as those before it in the queue haven't led to enough; so those looked at come first, and places don't change with what is left out
+        before = F.count("*").over(own.orderBy("_pos").rangeBetween(Window.unboundedPreceding, -1))
+        new = new.withColumn("_place", F.row_number().over(own.orderBy("_pos", "_r"))).withColumn("_looked", F.col("_known") + before < max_nodes)
+        entered = keep(new.withColumn("_next", (F.col("_known") + F.sum(F.col("_looked").cast("int")).over(own)).cast("int")))
         if hops:
-            done.append(queue.where(~F.col("_looked") | F.col("_has").isNull()).select("seed", "path", F.lit(hops).alias("hops"), "_pos"))
-        known = queue.groupBy("seed").agg((F.max("_known") + F.sum(F.when(F.col("_looked"), F.col("_new")).otherwise(0))).alias("_known"))
-        children = entered.join(queue.where("_looked").select("seed", "_pos", "path"), ["seed", "_pos"])
-        place = F.row_number().over(Window.partitionBy("seed").orderBy("_pos", "_r"))
-        front = keep(children.select("seed", "node", F.concat("path", F.array("p", F.col("node").cast("string"))).alias("path"), place.alias("_pos")))
-        known = keep(known)
-        if front.isEmpty():
+            done.append(fronts[-1].where((F.col("_known") >= max_nodes) & (F.col("_pos") <= most)).withColumn("hops", F.lit(hops)))
+            last = entered.where(F.col("_place") == max_nodes - F.col("_known")).select("seed", F.col("_pos").alias("_last"))
+            queue = looking.join(last, "seed", "left").join(ends, "node", "left")
+            done.append(queue.where((F.col("_pos") > F.col("_last")) | F.col("_has").isNull()).select(*fronts[-1].columns).withColumn("hops", F.lit(hops)))
+        fronts.append(entered.where("_looked").select("seed", "node", F.col("_place").alias("_pos"), F.col("_next").alias("_known"), F.col("_pos").alias("_from"), "p"))
+        if fronts[-1].isEmpty():
             break
-        visited = visited.union(front.select("seed", "node"))
-    done.append(front.select("seed", "path", F.lit(hops + 1).alias("hops"), "_pos"))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("hops"), "_pos"))
-    return reduce(DataFrame.unionByName, done).withColumn("place", place).where(F.col("place") <= most).select("seed", "path", "hops", "place")
+    done.append(fronts[-1].where(F.col("_pos") <= most).withColumn("hops", F.lit(len(fronts) - 1)))
+    place = F.row_number().over(own.orderBy(F.desc("hops"), "_pos"))
+    told = keep(reduce(DataFrame.unionByName, done).withColumn("place", place).where(F.col("place") <= most).select("seed", "hops", "place", "_from", "p", "node"))
+    out, step = None, lambda n: F.array("p", F.col(n).cast("string"))
+    for h in range(len(fronts) - 1, 0, -1):
+        rows = told.where(F.col("hops") == h).select("seed", "hops", "place", "_from", step("node").alias("path"))
+        out = rows if out is None else out.unionByName(rows)
+        if h > 1:
+            back = fronts[h - 1].select("seed", F.col("_pos").alias("_from"), F.col("_from").alias("_f"), step("node").alias("_step"))
+            out = out.join(back, ["seed", "_from"]).select("seed", "hops", "place", F.col("_f").alias("_from"), F.concat("_step", "path").alias("path"))
+    return out.select("seed", F.concat(F.array(F.col("seed").cast("string")), "path").alias("path"), "hops", "place")
 
 
 def longest(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
