@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tripleweft.operators import dialogue, features, packets, paths, patterns, wavefront
+from tripleweft.operators import dialogue, features, graph, packets, paths, patterns, wavefront
 from tripleweft.plans import catalog
 
 
@@ -256,3 +256,24 @@ def test_multihop_keeps_no_paths_and_deals_a_level_once(spark, monkeypatch):
     assert given and all("path" not in df.columns for df in given)
     dealt = [df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [seed#") for df in given]
     assert max(dealt) == 1
+
+
+def test_cosines_are_of_packs_of_vectors(spark, monkeypatch):
+    """Both sides are packed, so a vector isn't sent with a pack of queries for each row; all pairs are there."""
+    import math
+
+    met = []
+    own = graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df: met.append(own(df)) or met[-1])
+    g = random.Random(9)
+    vectors = {i: [g.gauss(0, 1) for _ in range(5)] for i in range(83)} | {200: [0.0] * 5}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 3 = 0")
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    cosine = lambda x, y: dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y)) + 1e-9)
+    want = {(a, b): cosine(x, y) for a, x in vectors.items() if a % 3 == 0 for b, y in vectors.items() if a != b and cosine(x, y) >= 0.3}
+    for block in (2000, 10):
+        met.clear()
+        got = {(r.a, r.b): r.cosine for r in graph.cosine_neighbors(asked, rows, "vec_id", "embedding", 0.3, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert sorted(df.count() <= -(-84 // block) for df in met) == [True, True]
