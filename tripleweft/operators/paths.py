@@ -111,7 +111,7 @@ def multihop(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, max_nodes: i
         rows = told.where(F.col("hops") == h).select("seed", "hops", "place", "_from", step("node").alias("path"))
         out = rows if out is None else out.unionByName(rows)
         if h > 1:
-            back = fronts[h - 1].select("seed", F.col("_pos").alias("_from"), F.col("_from").alias("_f"), step("node").alias("_step"))
+            back = fronts[h - 1].where(F.col("_known") < max_nodes).select("seed", F.col("_pos").alias("_from"), F.col("_from").alias("_f"), step("node").alias("_step"))
             out = out.join(back, ["seed", "_from"]).select("seed", "hops", "place", F.col("_f").alias("_from"), F.concat("_step", "path").alias("path"))
     return out.select("seed", F.concat(F.array(F.col("seed").cast("string")), "path").alias("path"), "hops", "place")
 
